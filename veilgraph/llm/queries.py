@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilgraph.llm import simhash, suffixes
+from veilgraph.llm import embeddings, simhash, suffixes
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_pq_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, folder, "documents"))
 
@@ -20,6 +24,7 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pq_embedding_dedup": op2_pq_embedding_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
