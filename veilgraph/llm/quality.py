@@ -18,6 +18,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,3 +179,14 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     bounded_batches(docs.sparkSession)
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model predicts to be of label 1, unchanged."""
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.stack([statistics(t or b"") for t in texts])) if len(texts) else [], dtype="float64")
+
+    return docs.where(score(F.col(text_col).cast("binary")) >= 0.5)

@@ -23,13 +23,15 @@ def numbered(df: DataFrame, order: list[Column], within: list[str] = (), name: s
     return ranked.join(offsets, condition).select(*(ranked[c] for c in df.columns), (F.col("_rank") + F.col("_offset")).cast("long").alias(name))
 
 
-def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """(id, bytes, own): the text's bytes under a unique long id in the order of the documents, and the id that the row came with.
+def unique_ids(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
+    """(id, bytes, own, ...): the text's bytes under a unique long id in the order of the documents, and the id that the row came with.
 
-    ``id`` is ``own`` itself where no id is null or repeated (False); else rows are numbered by id, nulls last, then by their text's hash (True).
+    ``id`` is ``own`` itself where no id is null or repeated; else rows are numbered by id, nulls last, then by their text's hash.
+    Columns in ``carry`` follow as ``_carried_0`` and so on.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("binary").alias("bytes"))
+    plain = docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("binary").alias("bytes"), *(docs[c].alias(f"_carried_{i}") for i, c in enumerate(carry)))
+    more = plain.columns[2:]
     if plain.groupBy("own").count().where("count > 1 or own is null").limit(1).count() == 0:
-        return plain.select(F.col("own").alias("id"), "bytes", "own"), False
+        return plain.select(F.col("own").alias("id"), "bytes", "own", *more)
     order = [F.col("own").asc_nulls_last(), F.xxhash64("bytes")]
-    return materialize(numbered(plain, order, name="id").select("id", "bytes", "own")), True
+    return materialize(numbered(plain, order, name="id").select("id", "bytes", "own", *more))

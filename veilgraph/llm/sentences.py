@@ -68,7 +68,7 @@ def _cut(span: int):
                 rows.append((i, len(spoken), len(gone), len(text or b"") - len(kept), kept.decode("utf-8", "replace")))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n_sentences", "n_removed", "n_removed_bytes", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_sentences", "n_removed", "n_removed_bytes", "text"])
 
     return cut
 
@@ -77,7 +77,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_sentences, n_removed, n_removed_bytes, text) for every row of ``docs``; text is what is left."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    keyed, renumbered = unique_ids(docs, id_col, text_col)
+    keyed = unique_ids(docs, id_col, text_col)
     base = keyed.select("id", "bytes")
     runs = materialize(base.mapInArrow(_runs(span, min_words), "high long, low long, id long, at long"))
     first = materialize(runs.groupBy("high", "low").agg(F.min(F.struct("id", "at")).alias("least"), F.count("*").alias("n")).where("n > 1").select("high", "low", "least"))
@@ -85,7 +85,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = runs.join(first, ["high", "low"]).where((F.col("id") != F.col("least.id")) | (F.col("at") != F.col("least.at")))
     covered = materialize(later.groupBy("id").agg(F.collect_list("at").alias("covered")))
     release(spark)
-    out = base.join(covered, "id", "left").mapInArrow(_cut(span), "id long, n_sentences long, n_removed long, n_removed_bytes long, text string")
-    if renumbered:
-        return out.join(keyed.select("id", "own"), "id").select(F.col("own").alias("doc_id"), *out.columns[1:])
-    return out.withColumnRenamed("id", "doc_id")
+    schema = "doc_id long, n_sentences long, n_removed long, n_removed_bytes long, text string"
+    return keyed.join(covered, "id", "left").select("own", "bytes", "covered").mapInArrow(_cut(span), schema)

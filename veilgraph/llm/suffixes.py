@@ -312,11 +312,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     return spans
 
 
-def _keep(length: int, with_text: bool):
+def _keep(length: int, with_text: bool, carried: list[str]):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else [])]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)]
+
     def keep(batches):
         for batch in batches:
             rows = []
-            for i, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text, kept, end, removed, n = text or b"", [], 0, 0, 0
                 last = -1
                 for first, count in sorted((s["first"], s["n"]) for s in spans or ()):
@@ -330,23 +333,24 @@ def _keep(length: int, with_text: bool):
                         end = last = stop
                 kept.append(text[end:])
                 whole = b"".join(kept)
-                rows.append((i, len(text), removed, n, hashlib.sha256(whole).hexdigest(), *([whole] if with_text else [])))
-            columns = list(zip(*rows, strict=True)) or [()] * (5 + with_text)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 5 + with_text]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
+                rows.append((len(text), removed, n, hashlib.sha256(whole).hexdigest(), *([whole] if with_text else [])))
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[3:]], names=["doc_id", *names, *carried]
+            )
 
     return keep
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of ``docs``; n_spans counts maximal removed runs of bytes."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], columns in ``carry``) for every row of ``docs``; n_spans counts maximal removed runs of bytes."""
     spark = docs.sparkSession
-    keyed, renumbered = unique_ids(docs, id_col, text_col)
+    keyed = unique_ids(docs, id_col, text_col, carry)
     spans = materialize(repeated_spans(keyed.select("id", "bytes"), length))
     release(spark)
     per = spans.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    out = keyed.select("id", "bytes").join(per, "id", "left").mapInArrow(_keep(length, with_text), schema)
-    if renumbered:
-        return out.join(keyed.select("id", "own"), "id").select(F.col("own").alias("doc_id"), *out.columns[1:])
-    return out.withColumnRenamed("id", "doc_id")
+    carried = [f"_carried_{i}" for i in range(len(carry))]
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    schema += "".join(f", {c} {keyed.schema[c].dataType.simpleString()}" for c in carried)
+    out = keyed.join(per, "id", "left").select("own", "bytes", "spans", *carried).mapInArrow(_keep(length, with_text, carried), schema)
+    return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))
