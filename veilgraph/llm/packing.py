@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from veilgraph.plans.workspace import bounded_batches, materialize
 
 LENGTH, END, TASK = 2048, 0, 16384
-#: The least filled sequences that a task tries to empty, one after the other.
-EMPTIED = 64
+#: Steps of a task's search, least filled sequences tried in a step, and their longest documents that are given in pairs.
+STEPS, GIVING, PAIRED = 500, 16, 12
 #: How GPT-2's pre-tokenizer splits text before the merges.
 _PATTERN = public_tokenizers.PATTERN
 _LOADED: dict[str, tuple] = {}
@@ -123,57 +123,58 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, emptied: int = EMPTIED) -> list[list[int]]:
-    """Fewer bins where moves and exchanges between underfull bins can empty the least filled ones."""
+def _best_move(source: int, bins: list[list[int]], size: np.ndarray, fill: np.ndarray, under: np.ndarray, capacity: int):
+    """(items given, items taken back, target) that raises the sum of squared fills most as ``source`` gives to an underfull bin; None if nothing does."""
+    mine = sorted(bins[source], key=lambda i: -size[i])
+    room = capacity - fill[under]
+    back_item = np.concatenate([np.array(bins[b]) for b in under])
+    back_bin = np.repeat(under, [len(bins[b]) for b in under])
+    back_size, back_room, back_fill = size[back_item], capacity - fill[back_bin], fill[back_bin]
+    few = mine[:PAIRED]
+    gifts = [(i,) for i in mine] + [(a, b) for k, a in enumerate(few) for b in few[k + 1 :]]
+    best, move = 0, None
+    for given in gifts:
+        amount = int(size[list(given)].sum())
+        fits = np.flatnonzero(room >= amount)
+        if len(fits):
+            k = int(under[fits[np.argmax(fill[under[fits]])]])
+            gain = 2 * amount * int(fill[k] - fill[source] + amount)
+            if gain > best:
+                best, move = gain, (given, (), k)
+        shift = amount - back_size
+        gains = np.where((shift > 0) & (shift <= back_room), 2 * shift * (back_fill - fill[source] + shift), 0)
+        k = int(np.argmax(gains))
+        if gains[k] > best:
+            best, move = int(gains[k]), (given, (int(back_item[k]),), int(back_bin[k]))
+    return move
+
+
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int, steps: int = STEPS) -> list[list[int]]:
+    """Fewer bins, where moves and exchanges between underfull bins can empty some; as many as the sizes need end the search at once.
+
+    Every step raises the sum of squared fills, the least filled bin that can give giving first. ``steps`` bounds the work, not the result's validity.
+    """
     size = np.array(sizes, np.int64)
     bins = [list(b) for b in bins]
     fill = np.array([size[b].sum() for b in bins], np.int64)
     least = -(-int(size.sum()) // capacity)
-    for _ in range(emptied):
-        alive = np.flatnonzero(fill > 0)
-        if len(alive) <= least:
+    for _ in range(steps):
+        under = np.flatnonzero((fill > 0) & (fill < capacity))
+        if np.count_nonzero(fill) <= least or len(under) < 2:
             break
-        source = int(alive[np.argmin(fill[alive])])
-        saved = ([list(b) for b in bins], fill.copy())
-        while bins[source]:
-            under = alive[(fill[alive] < capacity) & (alive != source)]
-            if not len(under):
+        for source in under[np.argsort(fill[under], kind="stable")][:GIVING]:
+            move = _best_move(int(source), bins, size, fill, under[under != source], capacity)
+            if move:
                 break
-            mine = np.array(sorted(bins[source], key=lambda i: -sizes[i]))
-            room = capacity - fill[under]
-            # what is given: one document, or two; what is taken back: nothing, or one
-            single = [((int(i),), int(size[i])) for i in mine]
-            double = [((int(mine[a]), int(mine[b])), int(size[mine[a]] + size[mine[b]])) for a in range(min(len(mine), 12)) for b in range(a + 1, min(len(mine), 12))]
-            back_item = np.concatenate([np.array(bins[b]) for b in under])
-            back_bin = np.repeat(under, [len(bins[b]) for b in under])
-            back_size = size[back_item]
-            back_room, back_fill = capacity - fill[back_bin], fill[back_bin]
-            best = (0, None)
-            for given, amount in single + double:
-                fits = np.flatnonzero(room >= amount)
-                if len(fits):
-                    k = fits[np.argmax(fill[under[fits]])]
-                    gain = 2 * amount * int(fill[under[k]] - fill[source] + amount)
-                    if gain > best[0]:
-                        best = (gain, (given, (), int(under[k])))
-                shift = amount - back_size
-                gains = np.where((shift > 0) & (shift <= back_room), 2 * shift * (back_fill - fill[source] + shift), 0)
-                k = int(np.argmax(gains))
-                if gains[k] > best[0]:
-                    best = (int(gains[k]), (given, (int(back_item[k]),), int(back_bin[k])))
-            if best[1] is None:
-                break
-            given, taken, target = best[1]
-            for i in given:
-                bins[source].remove(i)
-                bins[target].append(i)
-            for i in taken:
-                bins[target].remove(i)
-                bins[source].append(i)
-            fill[source], fill[target] = size[bins[source]].sum() if bins[source] else 0, size[bins[target]].sum()
-        if bins[source]:
-            bins, fill = saved
+        else:
             break
+        given, taken, target = move
+        for items, here, there in ((given, int(source), target), (taken, target, int(source))):
+            for i in items:
+                bins[here].remove(i)
+                bins[there].append(i)
+                fill[here] -= size[i]
+                fill[there] += size[i]
     return [b for b in bins if b]
 
 
