@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from veilgraph.plans.oracle import SQL
+from veilgraph.plans.queries import QUERIES
+
+__all__ = ["QUERIES", "SQL"]
