@@ -1,28 +1,14 @@
-"""Row numbers and row keys without a single-task sort."""
+"""Row keys for tables whose ids may be null or repeat."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilgraph.functions.ordered import numbered
 from veilgraph.plans.workspace import materialize
 
 
-def numbered(df: DataFrame, order: list[Column], within: list[str] = (), name: str = "position") -> DataFrame:
-    """``df`` with the gapless position from 0 of each row, in ``order``, among the rows equal in ``within``.
-
-    Rows are range-partitioned by ``order``; a row's position is its rank in its range plus the counts of the ranges before.
-    Only the counts (one row per range and group) meet in one place per group.
-    """
-    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    counts = ranged.groupBy("_range", *within).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_range", *within, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_range", *within).orderBy(*order)) - 1)
-    condition = [ranked["_range"] == offsets["_range"], *(ranked[c].eqNullSafe(offsets[c]) for c in within)]
-    return ranked.join(offsets, condition).select(*(ranked[c] for c in df.columns), (F.col("_rank") + F.col("_offset")).cast("long").alias(name))
-
-
 def unique_ids(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
     """(id, bytes, own, ...): the text's bytes under a unique long id in the order of the documents, and the id that the row came with.
 

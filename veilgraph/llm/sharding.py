@@ -5,7 +5,7 @@ record (law ``key``: the id and the shards decide). A shard more wins only the r
 scores highest, so those alone move, and only into it; a shard less hands out only its own. A shard's
 part of the keys is its part of the weights.
 
-Slots are positions by id in the shard, counted in ranges (``rows.numbered``): no shard is sorted in one task.
+Slots are positions by id in the shard, counted in ranges (``functions.ordered.numbered``): no shard is sorted in one task.
 
 Cases: null ids hash alike; a null text has no bytes and the checksum 0; rows with one id share a
 shard and are ordered by checksum and size; equal texts under different ids are separate records; an empty table gives an
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.llm.rows import numbered
+from veilgraph.functions.ordered import numbered
 
 SHARDS, OVERHEAD = 24, 8
 
