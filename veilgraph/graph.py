@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.functions.ordered import numbered
-from veilgraph.plans.workspace import materialize
+from veilgraph.plans.workspace import hold, materialize
 
 
 def canonical(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -86,7 +86,7 @@ class Graph:
     def relabel(self, order: list[Column] | None = None) -> tuple[Graph, DataFrame]:
         """The graph with ids 0 to n-1 in ``order`` (of attributes and ``old``, the old id; by it if none is given), and (old, id)."""
         renamed = numbered(self.nodes.withColumnRenamed("id", "old"), order or [F.col("old")], name="id")
-        renamed = materialize(renamed)
+        renamed = hold(renamed)
         names = renamed.select("old", "id")
         ends = self.edges.join(names.select(F.col("old").alias("src"), F.col("id").alias("a")), "src").join(names.select(F.col("old").alias("dst"), F.col("id").alias("b")), "dst")
         return Graph(renamed.drop("old").select("id", *[c for c in self.nodes.columns if c != "id"]), canonical(ends, "a", "b")), names
@@ -99,7 +99,7 @@ class Graph:
 
 def dense(df: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` with the rank of ``column`` among its distinct values, from 0."""
-    ranks = materialize(numbered(df.select(column).distinct(), [F.col(column)], name=name))
+    ranks = hold(numbered(df.select(column).distinct(), [F.col(column)], name=name))
     return df.join(ranks, column)
 
 

@@ -22,7 +22,7 @@ from veilgraph.operators.clustering import line_cluster, pool_adjacent
 from veilgraph.operators.rewiring import rewire
 from veilgraph.operators.structure import joint_degrees
 from veilgraph.operators.wl import colour_rounds, equal_labellings, named
-from veilgraph.plans.workspace import materialize
+from veilgraph.plans.workspace import hold, materialize
 
 
 class AbstractAnonymizer(ABC):
@@ -52,12 +52,12 @@ class ConfigurationModelAnonymizer(AbstractAnonymizer):
 
     def anonymize(self, graph: Graph, random_seed: int | None = None) -> Graph:
         seed = _seed(random_seed)
-        degrees = materialize(graph.degrees())
+        degrees = hold(graph.degrees())
         giving = numbered(degrees.withColumn("h", hashrand.digest(f"{seed}:give", "id")), [F.col("h"), F.col("id")], name="place").select("place", "deg")
         taking = numbered(degrees.select("id", hashrand.digest(f"{seed}:take", "id").alias("h")), [F.col("h"), F.col("id")], name="place").select("place", "id")
         dealt = taking.join(giving, "place").where("deg > 0")
         stubs = dealt.select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("deg"))).alias("stub"))
-        placed = materialize(numbered(stubs.withColumn("h", hashrand.digest(f"{seed}:stub", "id", "stub")), [F.col("h"), F.col("id"), F.col("stub")], name="place").select("place", "id"))
+        placed = hold(numbered(stubs.withColumn("h", hashrand.digest(f"{seed}:stub", "id", "stub")), [F.col("h"), F.col("id"), F.col("stub")], name="place").select("place", "id"))
         half = graph.count_edges()
         met = placed.groupBy((F.col("place") % max(1, half)).alias("edge")).agg(F.min("id").alias("src"), F.max("id").alias("dst"))
         return graph.with_edges(canonical(met))
@@ -90,7 +90,7 @@ class RandomEdgeAddDelAnonymizer(AbstractAnonymizer):
         """``need`` edges that ``kept`` doesn't have: the first of a stream of random pairs, or of all pairs by hash where most are needed."""
         spark, n = graph.nodes.sparkSession, graph.count_nodes()
         every = n * (n - 1) // 2
-        names = materialize(numbered(graph.nodes.select("id"), [F.col("id")], name="at"))
+        names = hold(numbered(graph.nodes.select("id"), [F.col("id")], name="at"))
         if need <= 0:
             return kept.limit(0)
         if 2 * (left + need) > every:  # pair p of n nodes by its row, without a join
@@ -107,7 +107,7 @@ class RandomEdgeAddDelAnonymizer(AbstractAnonymizer):
         met = pairs.join(low, "u").join(high, "v").select("turn", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
         fresh = met.join(kept, ["src", "dst"], "left_anti").groupBy("src", "dst").agg(F.min("turn").alias("turn"))
         order = [F.col("turn")] if 2 * (left + need) <= every else [hashrand.digest(f"{seed}:add", "src", "dst")]
-        ordered = materialize(numbered(fresh.withColumn("h", order[0]), [F.col("h"), F.col("src"), F.col("dst")], name="place"))
+        ordered = hold(numbered(fresh.withColumn("h", order[0]), [F.col("h"), F.col("src"), F.col("dst")], name="place"))
         if ordered.count() < need:  # very unlikely: the stream held too many repeats
             return RandomEdgeAddDelAnonymizer.new_edges(graph, kept, left, need, seed + 1_000_003)
         return ordered.where(F.col("place") < need).select("src", "dst")
@@ -157,7 +157,7 @@ class NestModelAnonymizer(AbstractAnonymizer):
 
     def anonymize(self, graph: Graph, random_seed: int | None = None, initial_colors: DataFrame | None = None) -> Graph:
         labels = colour_rounds(graph, self.depth, initial_colors)[-1]
-        return rewire(graph, materialize(named(labels)), self.r, _seed(random_seed))
+        return rewire(graph, hold(named(labels)), self.r, _seed(random_seed))
 
 
 def validate_nest(graph: Graph, other: Graph, depth: int, initial_colors: DataFrame | None = None) -> bool:
@@ -217,9 +217,9 @@ class PygmalionModelAnonymizer(AbstractAnonymizer):
         edges = counts.where("noisy > 0").select("k1", "k2", F.explode(F.sequence(F.lit(1).cast("long"), F.col("noisy"))).alias("no"))
         edge = F.concat_ws(":", "k1", "k2", "no")
         stubs = edges.select(edge.alias("edge"), F.explode(F.array(F.struct(F.col("k1").alias("k"), F.lit(0).alias("end")), F.struct(F.col("k2").alias("k"), F.lit(1).alias("end")))).alias("s")).select("edge", "s.k", "s.end")
-        placed = materialize(numbered(stubs.withColumn("h", hashrand.digest(f"{seed}:stub", "edge", "end")), [F.col("h"), F.col("edge"), F.col("end")], ["k"], "place"))
+        placed = hold(numbered(stubs.withColumn("h", hashrand.digest(f"{seed}:stub", "edge", "end")), [F.col("h"), F.col("edge"), F.col("end")], ["k"], "place"))
         owned = placed.withColumn("slot", F.floor(F.col("place") / F.col("k")))
-        nodes = materialize(numbered(owned.select("k", "slot").distinct(), [F.col("k"), F.col("slot")], name="id"))
+        nodes = hold(numbered(owned.select("k", "slot").distinct(), [F.col("k"), F.col("slot")], name="id"))
         ends = owned.join(nodes, ["k", "slot"]).groupBy("edge").agg(F.min("id").alias("src"), F.max("id").alias("dst"))
         return Graph(nodes.select("id"), ends.select("src", "dst").distinct())
 

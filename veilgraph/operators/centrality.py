@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.graph import Graph
-from veilgraph.plans.workspace import discard, materialize
+from veilgraph.plans.workspace import discard, hold, materialize
 
 KERNEL_EDGES = 2_000_000
 VALUES = "id long, val double"
@@ -84,8 +84,8 @@ def iterate(graph: Graph, initial: float, update: Callable, kernel: Callable, ma
             if np.abs(x - last).sum() < tolerance * n:
                 break
         return _frame(graph, arrays, x)
-    edges, degrees = materialize(graph.both_ways()), materialize(graph.degrees())
-    table = materialize(degrees.withColumn("val", F.lit(float(initial))))
+    edges = hold(graph.both_ways())
+    table = materialize(graph.degrees().withColumn("val", F.lit(float(initial))))
     for _ in range(max_iter):
         after, change = update(table, edges, n)
         after = materialize(after)
@@ -216,7 +216,7 @@ def closeness(graph: Graph, sources: DataFrame | None = None, max_hops: int = 10
                 yield pd.DataFrame({"id": frame["id"], "val": closeness_of(g, np.searchsorted(g.ids, frame["id"].to_numpy()))})
 
         return chosen.repartition(max(1, min(64, arrays.n // 256))).mapInPandas(run, VALUES)
-    edges = materialize(graph.both_ways())
+    edges = hold(graph.both_ways())
     seen = materialize(chosen.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops")))
     front = seen
     for hop in range(1, max_hops):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.graph import Graph
-from veilgraph.plans.workspace import materialize
+from veilgraph.plans.workspace import hold
 
 
 def colour_degrees(graph: Graph, colors: DataFrame) -> DataFrame:
@@ -32,12 +32,12 @@ def colour_histogram(graph: Graph, colors: DataFrame, arcs: DataFrame | None = N
 
 def coloured_ends(graph: Graph, colors: DataFrame) -> DataFrame:
     """Edges in both directions with colours and colour degrees of both ends: (src, dst, c1, c2, d12, d21, m)."""
-    degrees = materialize(colour_degrees(graph, colors))
+    degrees = hold(colour_degrees(graph, colors))
     pairs = degrees.join(colors.select("id", F.col("color").alias("own")), "id").groupBy(F.col("own").alias("c1"), F.col("color").alias("c2")).agg(F.sum("deg").alias("m"))
     ends = graph.both_ways().join(colors.select(F.col("id").alias("src"), F.col("color").alias("c1")), "src").join(colors.select(F.col("id").alias("dst"), F.col("color").alias("c2")), "dst")
     ends = ends.join(degrees.select(F.col("id").alias("src"), F.col("color").alias("c2"), F.col("deg").alias("d12")), ["src", "c2"])
     ends = ends.join(degrees.select(F.col("id").alias("dst"), F.col("color").alias("c1"), F.col("deg").alias("d21")), ["dst", "c1"])
-    return ends.join(materialize(pairs), ["c1", "c2"])
+    return ends.join(hold(pairs), ["c1", "c2"])
 
 
 def privacy_loss(graph: Graph, colors: DataFrame) -> DataFrame:
@@ -68,8 +68,8 @@ def equivalence_classes(graph: Graph, colors: DataFrame) -> DataFrame:
     from veilgraph.operators.wl import refine, start
 
     labels = start(graph.nodes.select("id").join(colors, "id"), ["id"], "color")
-    classes = materialize(refine(labels, graph.both_ways(), ["id"]))
-    sizes = materialize(classes.groupBy("a", "b").agg(F.count("*").alias("size")))
+    classes = hold(refine(labels, graph.both_ways(), ["id"]))
+    sizes = hold(classes.groupBy("a", "b").agg(F.count("*").alias("size")))
     return classes.join(sizes, ["a", "b"]).select("id", "size")
 
 

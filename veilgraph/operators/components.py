@@ -16,19 +16,20 @@ from pyspark.sql import functions as F
 from veilgraph.plans.workspace import discard, materialize
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One star step over links (a, b) with a > b."""
+def _star(links: DataFrame, rows: int, large: bool) -> DataFrame:
+    """One star step over ``rows`` links (a, b) with a > b."""
     if large:
         around = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         around = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = materialize(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    # written before the join, so that the join has an exchange on either side and its large partitions can be split
+    least = materialize(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * rows)
     joined = around.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    stepped = materialize(out.where("a <> b").distinct())
+    stepped = materialize(out.where("a <> b").distinct(), 2 * rows)
     discard(least)
     return stepped
 
@@ -48,8 +49,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
     state = _state(links)
     while state[0]:
-        big = _star(links, large=True)
-        small = _star(big, large=False)
+        big = _star(links, state[0], large=True)
+        small = _star(big, 2 * state[0], large=False)
         after = _state(small)
         discard(links, big)
         links = small

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veilgraph.functions import hashrand
 from veilgraph.functions.ordered import numbered
 from veilgraph.graph import Graph, canonical
-from veilgraph.plans.workspace import discard, materialize
+from veilgraph.plans.workspace import discard, hold, materialize
 
 BLOCK = 100_000
 
@@ -46,12 +46,12 @@ def swap_round(edges: DataFrame, round_no: int, seed: int) -> DataFrame:
         F.when(turned, high).when(mono, low).otherwise(F.col("a")).alias("a"), F.when(turned, low).when(mono, high).otherwise(F.col("b")).alias("b"), "c1", "c2",
         hashrand.digest(f"{seed}:{round_no}", low, high).alias("h"),
     )
-    placed = materialize(numbered(faced, [F.col("h"), F.col("a"), F.col("b")], ["c1", "c2"], "place"))
+    placed = hold(numbered(faced, [F.col("h"), F.col("a"), F.col("b")], ["c1", "c2"], "place"))
     first = F.max(F.when(F.col("place") % 2 == 0, F.struct("a", "b")))
     second = F.max(F.when(F.col("place") % 2 == 1, F.struct("a", "b")))
     pairs = placed.groupBy("c1", "c2", F.floor(F.col("place") / 2).alias("pair")).agg(first.alias("e"), second.alias("f")).where("f is not null")
     proper = pairs.where("e.a <> f.a and e.b <> f.b and e.a <> f.b and f.a <> e.b")
-    made = materialize(
+    made = hold(
         proper.select("c1", "c2", "pair", F.explode(F.array(F.struct(F.col("e.a").alias("a"), F.col("f.b").alias("b")), F.struct(F.col("f.a").alias("a"), F.col("e.b").alias("b")))).alias("n"))
         .select("c1", "c2", "pair", "n.a", "n.b", F.least("n.a", "n.b").alias("low"), F.greatest("n.a", "n.b").alias("high"))
     )
@@ -60,10 +60,11 @@ def swap_round(edges: DataFrame, round_no: int, seed: int) -> DataFrame:
         made.join(made.groupBy("low", "high").count().where("count > 1").select("low", "high"), ["low", "high"], "left_semi").select("c1", "c2", "pair")
     )
     key = ["c1", "c2", "pair"]
-    swapped = materialize(made.join(clash.distinct(), key, "left_anti"))
+    swapped = hold(made.join(clash.distinct(), key, "left_anti"))
     kept = placed.withColumn("pair", F.floor(F.col("place") / 2)).join(swapped.select(*key).distinct(), key, "left_anti").select("a", "b", "c1", "c2")
     out = materialize(kept.unionByName(swapped.select("a", "b", "c1", "c2")))
-    discard(placed, made, swapped)
+    for table in (placed, made, swapped):
+        table.unpersist()
     return out
 
 
@@ -109,8 +110,8 @@ def _chain(r, seed: int):
 
 def rewire(graph: Graph, colors: DataFrame, r: int | float | tuple = 1, seed: int = 0, block: int = BLOCK) -> Graph:
     """The graph after about r swap attempts per edge inside blocks of ``colors`` (id, color)."""
-    edges = materialize(coloured(graph.edges, colors))
-    found = materialize(blocks(edges))
+    edges = hold(coloured(graph.edges, colors))
+    found = hold(blocks(edges))
     dead = edges.join(found.where("dead"), ["c1", "c2"], "left_semi").select("a", "b")
     small = edges.join(found.where(~F.col("dead") & (F.col("m") <= block)).select("c1", "c2"), ["c1", "c2"])
     parts = [dead, small.groupBy("c1", "c2").applyInPandas(_chain(r, seed), "a long, b long")]
@@ -155,7 +156,7 @@ def sample_configuration(graph: Graph, colors: DataFrame, seed: int = 0) -> Data
     right = ends.select("c1", "c2", F.col("b").alias("id"), F.concat_ws(":", "a", "b").alias("stub"), F.lit(1).alias("side"))
     mono = F.col("c1") == F.col("c2")
     stubs = left.unionByName(right).select("c1", "c2", "id", F.when(mono, F.lit(2)).otherwise(F.col("side")).alias("side"), hashrand.digest(f"{seed}:stub", "stub", "side").alias("h"))
-    placed = materialize(numbered(stubs, [F.col("h"), F.col("id")], ["c1", "c2", "side"], "place"))
+    placed = hold(numbered(stubs, [F.col("h"), F.col("id")], ["c1", "c2", "side"], "place"))
     slot = placed.withColumn("pair", F.when(F.col("side") == 2, F.floor(F.col("place") / 2)).otherwise(F.col("place")))
     met = slot.groupBy("c1", "c2", "pair").agg(F.min("id").alias("src"), F.max("id").alias("dst"))
     return met.groupBy("src", "dst").agg(F.sum(F.when(F.col("src") == F.col("dst"), 2).otherwise(1)).alias("weight"))

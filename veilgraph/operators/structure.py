@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilgraph.graph import Graph
 from veilgraph.operators.centrality import small
 from veilgraph.operators.components import connected_components
-from veilgraph.plans.workspace import materialize
+from veilgraph.plans.workspace import hold
 
 
 def degree_stats(graph: Graph) -> DataFrame:
@@ -32,7 +32,7 @@ def triangles(graph: Graph) -> DataFrame:
     deg = graph.degrees()
     ends = graph.edges.join(deg.select(F.col("id").alias("src"), F.col("deg").alias("ds")), "src").join(deg.select(F.col("id").alias("dst"), F.col("deg").alias("dd")), "dst")
     forward = F.struct("ds", "src") < F.struct("dd", "dst")
-    out = materialize(ends.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("v")))
+    out = hold(ends.select(F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("v")))
     wedges = out.alias("x").join(out.alias("y"), F.col("x.u") == F.col("y.u")).where("x.v < y.v").select(F.col("x.u").alias("a"), F.col("x.v").alias("b"), F.col("y.v").alias("c"))
     closing = graph.edges.select(F.col("src").alias("b"), F.col("dst").alias("c"))
     return wedges.join(closing, ["b", "c"], "left_semi").select("a", "b", "c")

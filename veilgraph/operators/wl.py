@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.graph import Graph
-from veilgraph.plans.workspace import discard, materialize
+from veilgraph.plans.workspace import discard, hold, materialize
 
 
 def _parts(a: Column, b: Column) -> list[Column]:
@@ -44,7 +44,7 @@ def colour_rounds(graph: Graph, max_iter: int = 200, initial: DataFrame | None =
     """
     if max_iter <= 0:
         raise ValueError("max_iter must be positive")
-    edges = materialize(graph.both_ways())
+    edges = hold(graph.both_ways())
     nodes = graph.nodes.select("id") if initial is None else graph.nodes.select("id").join(initial.select("id", "color"), "id")
     labels = materialize(start(nodes, ["id"], None if initial is None else "color"))
     out, colours = [labels], labels.select("a", "b").distinct().count()
@@ -61,7 +61,7 @@ def colour_rounds(graph: Graph, max_iter: int = 200, initial: DataFrame | None =
 
 def named(labels: DataFrame) -> DataFrame:
     """(id, color): colours named by their smallest node id."""
-    names = materialize(labels.groupBy("a", "b").agg(F.min("id").alias("color")))
+    names = hold(labels.groupBy("a", "b").agg(F.min("id").alias("color")))
     return labels.join(names, ["a", "b"]).select("id", "color")
 
 
@@ -83,14 +83,14 @@ def canonical_labels(colors: DataFrame) -> DataFrame:
     """(id, label): colours as 0, 1, ... in the order of their smallest id."""
     from veilgraph.functions.ordered import numbered
 
-    firsts = materialize(numbered(colors.groupBy("color").agg(F.min("id").alias("first")), [F.col("first")], name="label").select("color", "label"))
+    firsts = hold(numbered(colors.groupBy("color").agg(F.min("id").alias("first")), [F.col("first")], name="label").select("color", "label"))
     return colors.join(firsts, "color").select("id", "label")
 
 
 def combine(a: DataFrame, b: DataFrame) -> DataFrame:
     """(id, color): one colour per pair of colours in two labellings (id, color), named by its smallest id."""
     both = a.join(b.select("id", F.col("color").alias("other")), "id")
-    names = materialize(both.groupBy("color", "other").agg(F.min("id").alias("name")))
+    names = hold(both.groupBy("color", "other").agg(F.min("id").alias("name")))
     return both.join(names, ["color", "other"]).select("id", F.col("name").alias("color"))
 
 
@@ -110,7 +110,7 @@ def wl_distance(first: Graph, second: Graph, depth: int) -> DataFrame:
     from veilgraph.graph import tagged_union
 
     nodes, edges = tagged_union(first, second)
-    edges = materialize(edges)
+    edges = hold(edges)
     labels = materialize(start(nodes, ["which", "id"]))
     for _ in range(depth):
         labels = materialize(refine(labels, edges, ["which", "id"]))

@@ -3,14 +3,20 @@
 Long jobs cut their lineage by writing a Parquet table to the folder that the
 cluster shares between the driver and the executors (``spark.checkpoint.dir``).
 A lost executor then costs the tasks it was running, never a finished step.
+
+Small tables that are read again soon are held on the executors' disks instead, with their lineage: what
+a lost executor held is computed again.
 """
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -29,14 +35,25 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there."""
+#: Rows of a narrow table that one file should hold.
+FILE_ROWS = 500_000
+
+
+def materialize(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it from there; in few files where it is known to have few rows."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/veilgraph/{uuid.uuid4().hex}"
+    if most_rows is not None and most_rows <= 64 * FILE_ROWS:
+        df = df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on the executors' disks once it has been computed. Its lineage stays, so lost parts are computed again; not for loops, where lineage would grow."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and that nothing reads any more."""
     for df in tables:
@@ -55,9 +72,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def bounded_batches(spark: SparkSession, records: int = 2000, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, records: int = 2000, size: int = 8 << 20) -> None:
     """Keep Arrow batches small enough for rows with very long texts."""
     now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if now <= 0 or now > records:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def freeing(function):
+    """``function`` over Arrow batches, giving the memory that it no longer needs back to the system at the end of a task.
+
+    Python workers stay for later tasks; what their allocators keep would count against an executor whose next stage needs it.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim is not None:
+                trim(0)
+
+    return run
