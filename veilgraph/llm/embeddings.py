@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.operators.components import connected_components
-from veilgraph.plans.workspace import bounded_batches, materialize
+from veilgraph.plans.workspace import bounded_batches, freeing, hold, materialize
 
 COSINE, PROBES, SAMPLE, LISTS = 0.9, 4, 16384, 1024
 SUBSPACES, CODEWORDS = 8, 256
@@ -197,7 +197,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     dimension = found[0]["d"] if found else 0
     if not dimension:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    units = materialize(base.select("key", "v").mapInArrow(_units(dimension), "key long, unit array<double>"))
+    units = hold(base.select("key", "v").mapInArrow(freeing(_units(dimension)), "key long, unit array<double>"))
     n = units.count()
     chosen = units.orderBy(F.xxhash64("unit"), "key").limit(sample).select("unit").toArrow()
     model = None
@@ -206,7 +206,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if model is None:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     shared = spark.sparkContext.broadcast(model)  # at most LISTS centres and SUBSPACES codebooks
-    placed = materialize(units.mapInArrow(_late(_place, shared, probes, dimension), "key long, unit array<double>, probed array<int>"))
+    placed = hold(units.mapInArrow(freeing(_late(_place, shared, probes, dimension)), "key long, unit array<double>, probed array<int>"))
     # rows stored in and asking each list, at most LISTS numbers: the blocks that they are cut into
     held = {r["list"]: r["n"] for r in placed.groupBy(F.col("probed")[0].alias("list")).agg(F.count("*").alias("n")).collect()}
     asked = {r["list"]: r["n"] for r in placed.select(F.explode("probed").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
@@ -230,8 +230,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     degrees = linked.groupBy("key").agg(F.sum("links").alias("n_links"))
     parts = connected_components(linked.where("other >= 0"), "key", "other")
     groups = base.select("key", "vec_id").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    groups = materialize(groups)
-    least = materialize(groups.groupBy("component").agg(F.min("vec_id").alias("component_id")))
+    groups = hold(groups)
+    least = hold(groups.groupBy("component").agg(F.min("vec_id").alias("component_id")))
     return (
         groups.join(least, "component")
         .join(degrees, "key", "left")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgraph.plans.workspace import materialize
+from veilgraph.plans.workspace import hold, materialize
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Weight over training time at evenly spaced knots, for the sources of each weight in turn: heavy ones early, light ones late.
@@ -64,10 +64,6 @@ def when_demanded(share: Column, kind: Column, schedules=SCHEDULES) -> Column:
     return F.least((step + F.least(within, F.lit(1.0))) / F.lit(float(steps)), F.lit(1.0))
 
 
-def _same_source(a: DataFrame, b: DataFrame, *more: str):
-    return [a["source"].eqNullSafe(b["source"]), *(a[c] == b[c] for c in more)]
-
-
 def targets(totals: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """(source, source_size, kind, target) of (source, source_size): one row per source."""
     ordered = totals.withColumn("kind", ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)).cast("int"))
@@ -90,29 +86,34 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """(doc_id, source, size, source_size, target, copies, taken, positions), one row per row of ``docs``; positions has one training position in [0, 1] per copy."""
     if len(schedules) != len(weights) or min(weights) <= 0:
         raise ValueError("weights are positive, with a schedule each")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.expr(f"coalesce(regexp_count(`{text_col}`, '{WORDS}'), 0)").cast("long").alias("size"))
+    source = F.col(source_col).cast("string")
+    base = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source)).alias("key"),  # joins need it not null
+        F.expr(f"coalesce(regexp_count(`{text_col}`, '{WORDS}'), 0)").cast("long").alias("size"),
+    )
     base = materialize(base.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("cell", F.substring("hash", 1, DIGITS)))
-    cells = materialize(base.groupBy("source", "cell").agg(F.sum("size").alias("words")))
-    goals = materialize(targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap))
-    goals = goals.withColumn("rounds", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")).withColumn(
-        "last", F.col("target") - F.col("rounds") * F.col("source_size")
+    cells = hold(base.groupBy("key", "cell").agg(F.sum("size").alias("words")))
+    totals = cells.groupBy("key").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("key") != "", F.expr("substring(key, 2)")))
+    goals = targets(totals, weights, cap)
+    goals = goals.select(
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"), "source_size", "kind", "target",
+        F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long").alias("rounds"),
     )
-    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    placed = materialize(placed.join(goals, _same_source(placed, goals)).select(placed["source"], "cell", "offset", "source_size", "kind", "target", "rounds", "last"))
-    inside = Window.partitionBy("source", "cell").orderBy("hash", F.col("doc_id").asc_nulls_last(), "size")
+    goals = hold(goals.withColumn("last", F.col("target") - F.col("rounds") * F.col("source_size")))
+    before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = hold(cells.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words").join(goals, "key"))
+    inside = Window.partitionBy("key", "cell").orderBy("hash", F.col("doc_id").asc_nulls_last(), "size")
     rows = base.withColumn("place", F.row_number().over(inside)).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(placed, _same_source(rows, placed, "cell")).select("doc_id", rows["source"], rows["cell"], "place", "size", (F.col("upto") + F.col("offset")).alias("upto"), "source_size", "kind", "target", "rounds", "last")
-    rows = materialize(rows.withColumn("more", (F.col("last") > 0) & (F.col("upto") <= F.col("last"))))
+    rows = rows.drop("hash").join(placed, ["key", "cell"]).withColumn("upto", F.col("upto") + F.col("offset")).drop("offset")
+    rows = hold(rows.withColumn("more", (F.col("last") > 0) & (F.col("upto") <= F.col("last"))))
     # a source's gap is known once its last document that fits is; the cells carry it, so that no source meets in one task
-    gaps = rows.groupBy("source").agg((F.max("last") - F.coalesce(F.max(F.when(F.col("more"), F.col("upto"))), F.lit(0))).alias("gap"))
-    located = placed.select("source", "cell")
-    gaps = materialize(located.join(gaps, _same_source(located, gaps)).select(located["source"], "cell", "gap"))
-    candidates = rows.where("not more and size > 0").join(gaps, _same_source(rows, gaps, "cell")).where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
-    nearest = F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), rows["cell"].alias("cell"), "place"))
-    closing = candidates.groupBy(rows["source"]).agg(nearest.alias("best")).select("source", F.col("best.cell").alias("cell"), F.col("best.place").alias("place"), F.lit(True).alias("closes"))
-    closing = materialize(closing)
-    taken = rows.join(closing, _same_source(rows, closing, "cell", "place"), "left").select(*(rows[c] for c in rows.columns), F.coalesce("closes", F.lit(False)).alias("closes"))
+    gaps = rows.groupBy("key").agg((F.max("last") - F.coalesce(F.max(F.when(F.col("more"), F.col("upto"))), F.lit(0))).alias("gap"))
+    gaps = hold(cells.select("key", "cell").join(gaps, "key"))
+    candidates = rows.where("not more and size > 0").join(gaps, ["key", "cell"]).where(F.abs(F.col("size") - F.col("gap")) < F.col("gap"))
+    nearest = F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "cell", "place"))
+    closing = hold(candidates.groupBy("key").agg(nearest.alias("best")).select("key", "best.cell", "best.place", F.lit(True).alias("closes")))
+    taken = rows.join(closing, ["key", "cell", "place"], "left").withColumn("closes", F.coalesce("closes", F.lit(False)))
     taken = taken.withColumn("copies", (F.col("rounds") + F.when(F.col("more") | F.col("closes"), 1).otherwise(0)).cast("int"))
     share = lambda e: (F.col("upto") - F.col("size") / F.lit(2.0) + e * F.col("source_size")) / F.nullif(F.greatest("target", F.lit(0.0)), F.lit(0.0))
     times = F.transform(
@@ -120,7 +121,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         lambda e: F.round(when_demanded(F.least(F.coalesce(share(e), F.lit(0.0)), F.lit(1.0)), F.col("kind"), schedules), 6),
     )
     return taken.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
+        "doc_id", F.when(F.col("key") != "", F.expr("substring(key, 2)")).alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
         F.when(F.col("copies") > 0, times).otherwise(F.array().cast("array<double>")).alias("positions"),
     )
 

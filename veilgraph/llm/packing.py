@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.plans.workspace import bounded_batches, materialize
+from veilgraph.plans.workspace import bounded_batches, freeing, materialize
 
 LENGTH, END, TASK = 2048, 0, 16384
 #: Steps of a task's search, least filled sequences tried in a step, and their longest documents that are given in pairs.
@@ -205,9 +205,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     spark = docs.sparkSession
     bounded_batches(spark)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pieces(path, length, end), _PIECE))
+    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(freeing(_pieces(path, length, end)), _PIECE))
     partial = pieces.where(F.col("length") < length)
     tasks = max(1, -(-partial.count() // task))
-    packed = partial.repartition(tasks).mapInArrow(_pack(length), _PIECE + ", sequence_id long, offset long")
+    packed = partial.repartition(tasks).mapInArrow(freeing(_pack(length)), _PIECE + ", sequence_id long, offset long")
     whole = pieces.where(F.col("length") >= length).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(whole)

@@ -18,13 +18,12 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.llm.repetition import measure
-from veilgraph.plans.workspace import bounded_batches
+from veilgraph.plans.workspace import bounded_batches, freeing
 
 SAMPLE, FOLDS, SEED = 20_000, 5, 11
 LAMBDAS, GAMMAS = (0.0, 0.1, 0.3, 0.6, 1.0), (0.001, 0.01, 0.05, 0.2)
@@ -167,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "label")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_statistics, "label int, x array<double>").limit(2 * sample).toArrow()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(freeing(_statistics), "label int, x array<double>").limit(2 * sample).toArrow()
     y = np.asarray(rows.column("label").combine_chunks(), dtype=np.int64) if rows.num_rows else np.empty(0, np.int64)
     x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(len(y), -1) if len(y) else np.empty((0, len(NAMES)))
     order = np.lexsort((*x.T, y)) if len(y) else np.empty(0, np.int64)  # rows come in any order
@@ -177,16 +176,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs``."""
     bounded_batches(docs.sparkSession)
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_score(model), "doc_id long, score double")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(freeing(_score(model)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _keep(model: Model):
+    def keep(batches):
+        for batch in batches:
+            x = np.stack([statistics(t or b"") for t in batch.column(0).to_pylist()]) if batch.num_rows else np.empty((0, len(NAMES)))
+            good = batch.filter(pa.array(model.score(x) >= 0.5))
+            yield pa.RecordBatch.from_arrays(good.columns[1:], names=good.schema.names[1:])
+
+    return keep
+
+
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model predicts to be of label 1, unchanged."""
     bounded_batches(docs.sparkSession)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack([statistics(t or b"") for t in texts])) if len(texts) else [], dtype="float64")
-
-    return docs.where(score(F.col(text_col).cast("binary")) >= 0.5)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    judged = plain.select(F.col(names[docs.columns.index(text_col)]).cast("binary").alias("judged"), "*")
+    return judged.mapInArrow(freeing(_keep(model)), plain.schema).toDF(*docs.columns)

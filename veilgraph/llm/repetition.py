@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.plans.workspace import bounded_batches
+from veilgraph.plans.workspace import bounded_batches, freeing
 
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 50, 3, 50
 #: The largest share of characters inside duplicated n-grams of each length, and in lines equal to an earlier one.
@@ -132,6 +132,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     """Counts, ``base_failed``, ``kept`` and the measured shares, one row per row of ``docs``. ``coverage`` maps ascending n-gram lengths to limits."""
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        _judge(min_words, percent, dict(coverage or COVERAGE), line_chars),
+        freeing(_judge(min_words, percent, dict(coverage or COVERAGE), line_chars)),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, line_share double, ngram_shares array<double>",
     )

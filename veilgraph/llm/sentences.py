@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.llm.rows import unique_ids
-from veilgraph.plans.workspace import bounded_batches, materialize, release
+from veilgraph.plans.workspace import bounded_batches, freeing, hold, materialize, release
 
 SPAN, MIN_WORDS = 3, 20
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?\n]+[ \t\r\x0b\f]*|$)")
@@ -103,11 +103,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(spark)
     keyed = unique_ids(docs, id_col, text_col)
     base = keyed.select("id", "bytes")
-    runs = materialize(base.mapInArrow(_runs(span, min_words), "high long, low long, id long, first long, end long"))
-    first = materialize(runs.groupBy("high", "low").agg(F.min(F.struct("id", "first", "end")).alias("least"), F.count("*").alias("n")).where("n > 1").select("high", "low", "least"))
+    runs = materialize(base.mapInArrow(freeing(_runs(span, min_words)), "high long, low long, id long, first long, end long"))
+    first = hold(runs.groupBy("high", "low").agg(F.min(F.struct("id", "first", "end")).alias("least"), F.count("*").alias("n")).where("n > 1").select("high", "low", "least"))
     release(spark)
     later = runs.alias("runs").join(first, ["high", "low"]).where((F.col("id") != F.col("least.id")) | (F.col("runs.first") != F.col("least.first")) | (F.col("runs.end") != F.col("least.end")))
     covered = materialize(later.groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("covered")))
     release(spark)
     schema = "doc_id long, n_sentences long, n_removed long, n_removed_bytes long, text string"
-    return keyed.join(covered, "id", "left").select("own", "bytes", "covered").mapInArrow(_cut(), schema)
+    return keyed.join(covered, "id", "left").select("own", "bytes", "covered").mapInArrow(freeing(_cut()), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.operators.components import connected_components
-from veilgraph.plans.workspace import bounded_batches, materialize, release
+from veilgraph.plans.workspace import bounded_batches, freeing, hold, materialize
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Shingles whose bits are unpacked at once.
@@ -64,7 +64,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long, one row per row of ``docs``."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(freeing(_fingerprints), "doc_id long, fp long")
 
 
 def ball(radius: int) -> list[int]:
@@ -85,16 +85,14 @@ def near_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of ``docs``; component_id is the smallest doc_id reachable by links."""
-    spark = docs.sparkSession
     marked = materialize(fingerprints(docs, id_col, text_col))
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = materialize(near_fingerprints(distinct.select("fp"), radius))
-    release(spark)
+    distinct = hold(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    links = near_fingerprints(distinct.select("fp"), radius)
     parts = connected_components(links)
     joined = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    joined = materialize(joined)
-    ids = materialize(joined.groupBy("component").agg(F.min("least").alias("component_id")))
-    classes = materialize(joined.join(ids, "component").select("fp", "component_id"))
+    joined = hold(joined)
+    ids = hold(joined.groupBy("component").agg(F.min("least").alias("component_id")))
+    classes = hold(joined.join(ids, "component").select("fp", "component_id"))
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

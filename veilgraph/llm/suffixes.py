@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.llm.rows import unique_ids
-from veilgraph.plans.workspace import bounded_batches, discard, materialize, release
+from veilgraph.plans.workspace import bounded_batches, discard, freeing, hold, materialize, release
 
 LENGTH, GRAM = 100, 32
 HOT = 256
@@ -290,30 +290,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     """(id, first, n) over ``docs`` (id, bytes): n windows from ``first`` on of document id occur earlier. Spans may touch or overlap."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    found = docs.mapInArrow(_emit_runs(length, gram), _RUN)
+    found = docs.mapInArrow(freeing(_emit_runs(length, gram)), _RUN)
     counts = materialize(found.groupBy("gram").count().where("count > 1").select("gram"))
     shared = materialize(found.join(counts.hint("shuffle_hash"), "gram"))
     release(spark)
     later, kinds = _repeats(shared)
     later = materialize(later)
-    classes = materialize(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("windows")).where("kinds > 1"))
+    discard(shared)
+    classes = hold(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("windows")).where("kinds > 1"))
     mixed = kinds.join(classes, "gram").select("id", F.struct("gram", "first", "n", (F.col("kinds") > hot).alias("hot")).alias("run"))
     chosen = mixed.groupBy("id").agg(F.collect_list("run").alias("chosen"))
-    texts = materialize(docs.select("id", "bytes").join(chosen, "id").mapInArrow(_cut(length), "gram long, id long, first long, n int, hot boolean, bytes binary"))
-    discard(shared)
+    texts = materialize(docs.select("id", "bytes").join(chosen, "id").mapInArrow(freeing(_cut(length)), "gram long, id long, first long, n int, hot boolean, bytes binary"))
     release(spark)
     total, most = classes.agg(F.sum(F.when(F.col("kinds") <= hot, F.col("windows"))), F.max("kinds")).first()
     tasks = max(1, -(-(total or 0) // TASK))
     cold = texts.where("not hot").repartition(tasks, "gram").sortWithinPartitions("id", "first")
-    spans = later.unionByName(cold.select("id", "first", "n", "bytes").mapInArrow(_scan(length), _SPAN))
+    spans = later.unionByName(cold.select("id", "first", "n", "bytes").mapInArrow(freeing(_scan(length)), _SPAN))
     if (most or 0) > hot:
-        single = materialize(texts.where("hot").select("id", "first", "n", "bytes").mapInArrow(_windows(length), _RUN))
+        single = hold(texts.where("hot").select("id", "first", "n", "bytes").mapInArrow(freeing(_windows(length)), _RUN))
         spans = spans.unionByName(_repeats(single)[0])
     return spans
 
 
 def _keep(length: int, with_text: bool, carried: list[str]):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if with_text else [])]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string()] if with_text else [])]
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)]
 
     def keep(batches):
@@ -333,7 +333,7 @@ def _keep(length: int, with_text: bool, carried: list[str]):
                         end = last = stop
                 kept.append(text[end:])
                 whole = b"".join(kept)
-                rows.append((len(text), removed, n, hashlib.sha256(whole).hexdigest(), *([whole] if with_text else [])))
+                rows.append((len(text), removed, n, hashlib.sha256(whole).hexdigest(), *([whole.decode("utf-8", "ignore")] if with_text else [])))
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[3:]], names=["doc_id", *names, *carried]
@@ -343,14 +343,17 @@ def _keep(length: int, with_text: bool, carried: list[str]):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, carry: list[str] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], columns in ``carry``) for every row of ``docs``; n_spans counts maximal removed runs of bytes."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], columns in ``carry``) for every row of ``docs``; n_spans counts maximal removed runs of bytes.
+
+    kept is what is left as text: a character of which a part was removed goes whole.
+    """
     spark = docs.sparkSession
     keyed = unique_ids(docs, id_col, text_col, carry)
-    spans = materialize(repeated_spans(keyed.select("id", "bytes"), length))
+    spans = repeated_spans(keyed.select("id", "bytes"), length)
+    per = materialize(spans.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
     release(spark)
-    per = spans.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     carried = [f"_carried_{i}" for i in range(len(carry))]
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
     schema += "".join(f", {c} {keyed.schema[c].dataType.simpleString()}" for c in carried)
-    out = keyed.join(per, "id", "left").select("own", "bytes", "spans", *carried).mapInArrow(_keep(length, with_text, carried), schema)
+    out = keyed.join(per, "id", "left").select("own", "bytes", "spans", *carried).mapInArrow(freeing(_keep(length, with_text, carried)), schema)
     return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))

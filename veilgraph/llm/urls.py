@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.plans.workspace import bounded_batches
+from veilgraph.plans.workspace import bounded_batches, freeing
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -104,7 +104,7 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "
     """(page_id, host, path, rule, verdict), one row per row of ``pages``."""
     bounded_batches(pages.sparkSession, records=10_000)
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).mapInArrow(
-        _judge(Trie(rules), default), "page_id long, host string, path string, rule string, verdict string"
+        freeing(_judge(Trie(rules), default)), "page_id long, host string, path string, rule string, verdict string"
     )
 
 
