@@ -10,8 +10,10 @@ a lost executor held is computed again.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -31,7 +33,9 @@ def shared_root(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="veilgraph-")
+        folder = tempfile.mkdtemp(prefix="veilgraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[app] = f"file://{folder}"
     return _OWN[app]
 
 
