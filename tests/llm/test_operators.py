@@ -288,6 +288,27 @@ def test_exact_windows_survive_a_large_vocabulary():
 # 5
 
 
+def _sentences(text):
+    out = []
+    for s in re.findall(r"[^.!?\n]*(?:[.!?\n]+[ \t\r\x0b\f]*|$)", text):
+        words = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", s)
+        if s.count(" ") < 20 or len(words) <= 20:
+            out += [s] if s else []
+            continue
+        cuts = [0, *(i + 1 for i, w in enumerate(words) if xxhash.xxh64(w.strip(" \t\n\r\x0b\f").encode()).intdigest() % 8 == 0), len(words)]
+        out += [p for a, b in zip(cuts, cuts[1:]) if (p := "".join(words[a:b]))]
+    return out
+
+
+def test_a_passage_pasted_into_a_sentence_is_cut_like_its_first_copy(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    table = [(1, f"{word()} {passage}."), (2, " ".join(word() for _ in range(30)) + f" {passage} " + " ".join(word() for _ in range(15)) + "."), (3, " ".join(word() for _ in range(70)))]
+    got = {r.doc_id: r for r in sentences.remove_repeats(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == got[3].n_removed == 0 and got[2].n_removed_bytes > 0.4 * len(passage)
+
+
 def _spans(counts):
     n = len(counts)
     enough = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if (j - i >= 3 or (i == 0 and j == n)) and sum(counts[i:j]) >= 20]
@@ -309,7 +330,7 @@ def test_sentence_spans(docs, rows, empty):
     seen, want = set(), {}
     for i in order:
         text = rows[i][1] or ""
-        parts = [s for s in re.findall(r"[^.!?\n]*(?:[.!?\n]+[ \t\r\x0b\f]*|$)", text) if s]
+        parts = _sentences(text)
         spoken = [k for k, s in enumerate(parts) if s.strip(" \t\n\r\x0b\f.!?")]
         gone = set()
         for first, end in _spans([len(WORD.findall(parts[k])) for k in spoken]):

@@ -1,6 +1,7 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences (to ``.``, ``!``, ``?`` or a line's end). From every sentence on, and up to every
+A text is cut into sentences (to ``.``, ``!``, ``?`` or a line's end); one of more than ``LONG`` words, as where a passage was pasted into another
+sentence, is cut further after words that a hash picks, one in ``CUT``, so that copies are cut alike whatever stands before them. From every sentence on, and up to every
 sentence, the shortest run of at least ``SPAN`` consecutive sentences that has ``MIN_WORDS`` words is hashed to 128 bits over
 its words, so white space between them doesn't matter, and many short sentences are caught as
 well as few long ones. Runs are joined over all documents, and the sentences that any non-first
@@ -28,12 +29,28 @@ from veilgraph.llm.rows import unique_ids
 from veilgraph.plans.workspace import bounded_batches, freeing, hold, materialize, release
 
 SPAN, MIN_WORDS = 3, 20
+LONG, CUT = 20, 8
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?\n]+[ \t\r\x0b\f]*|$)")
+_WORD = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 def split(text: bytes) -> list[bytes]:
-    """Sentences with what ends them; joined, they are the text."""
-    return [s for s in _SENTENCE.findall(text) if s]
+    """Sentences, and parts of long ones, with what ends them; joined, they are the text."""
+    out = []
+    for sentence in _SENTENCE.findall(text):
+        if sentence.count(b" ") < LONG or len(words := _WORD.findall(sentence)) <= LONG:
+            if sentence:
+                out.append(sentence)
+            continue
+        held = []
+        for word in words:
+            held.append(word)
+            if xxhash.xxh64_intdigest(word.strip()) % CUT == 0:
+                out.append(b"".join(held))
+                held = []
+        if held:
+            out.append(b"".join(held))
+    return out
 
 
 def _spoken(sentences: list[bytes]) -> list[int]:
