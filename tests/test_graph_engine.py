@@ -112,14 +112,15 @@ def test_distances(spark, monkeypatch, size):
 
 def test_large_forms_equal_small_forms(spark, monkeypatch):
     g = graph(spark, random_edges(40, 0.06, 5), 40).written()
-    small = {f.__name__: dict(f(g).collect()) for f in (centrality.pagerank, centrality.katz, centrality.eigenvector, centrality.closeness)}
+    calls = [(centrality.pagerank, {}), (centrality.closeness, {}), (centrality.katz, {"max_iter": 4, "tol": 0}), (centrality.eigenvector, {"max_iter": 4, "tol": 0})]
+    small = [dict(f(g, **options).collect()) for f, options in calls]
     parts = dict(structure.components(g).collect())
     monkeypatch.setattr(centrality, "KERNEL_EDGES", 0)
-    for f in (centrality.pagerank, centrality.closeness):
-        assert dict(f(g).collect()) == pytest.approx(small[f.__name__])
-    for f in (centrality.katz, centrality.eigenvector):
-        assert dict(f(g, max_iter=4, tol=0).collect()).keys() == small[f.__name__].keys()
-    assert dict(structure.components(g).collect()) == parts
+    large = Graph(g.nodes, g.edges)
+    assert centrality.small(large) is None
+    for (f, options), want in zip(calls, small, strict=True):
+        assert dict(f(large, **options).collect()) == pytest.approx(want)
+    assert dict(structure.components(large).collect()) == parts
 
 
 def test_components_of_stars_paths_and_rings(spark):

@@ -44,8 +44,17 @@ class Graph:
         return cls(nodes, canonical(edges, src, dst))
 
     def written(self) -> Graph:
-        """The same graph, computed once and read from the shared folder."""
-        return Graph(materialize(self.nodes), materialize(self.edges))
+        """The same graph, computed once and read from the shared folder; what is derived from it is kept too."""
+        return Graph(materialize(self.nodes), materialize(self.edges), {"keep": True})
+
+    def remember(self, key: str, make):
+        """``make()``, called once on a written graph; a DataFrame that it gives is held."""
+        if "keep" not in self._memo:
+            return make()
+        if key not in self._memo:
+            found = make()
+            self._memo[key] = hold(found) if isinstance(found, DataFrame) else found
+        return self._memo[key]
 
     def with_edges(self, edges: DataFrame) -> Graph:
         """The same nodes and attributes with other edges."""
@@ -66,6 +75,9 @@ class Graph:
 
     def degrees(self) -> DataFrame:
         """(id, deg) of every node; isolated nodes have 0."""
+        return self.remember("degrees", self._degrees)
+
+    def _degrees(self) -> DataFrame:
         counted = self.both_ways().groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
         return self.nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("deg", F.lit(0)).cast("long").alias("deg"))
 

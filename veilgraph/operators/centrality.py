@@ -58,6 +58,10 @@ class Arrays:
 
 def small(graph: Graph) -> Arrays | None:
     """The graph as arrays if it has at most KERNEL_EDGES nodes and edges."""
+    return graph.remember("arrays", lambda: _collected(graph))
+
+
+def _collected(graph: Graph) -> Arrays | None:
     if graph.count_edges() > KERNEL_EDGES or graph.count_nodes() > KERNEL_EDGES:
         return None
     ids = graph.nodes.select("id").toPandas()["id"].to_numpy(np.int64)

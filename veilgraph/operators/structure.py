@@ -40,6 +40,10 @@ def triangles(graph: Graph) -> DataFrame:
 
 def triangles_per_node(graph: Graph) -> DataFrame:
     """(id, deg, tri, clustering): clustering is 2 tri / (deg (deg - 1)), 0 for degrees under 2."""
+    return graph.remember("clustering", lambda: _triangles_per_node(graph))
+
+
+def _triangles_per_node(graph: Graph) -> DataFrame:
     counted = triangles(graph).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count("*").alias("tri"))
     joined = graph.degrees().join(counted, "id", "left").withColumn("tri", F.coalesce("tri", F.lit(0)))
     wedges = F.col("deg") * (F.col("deg") - 1)

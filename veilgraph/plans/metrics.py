@@ -83,7 +83,7 @@ class MeanDegreeMetric(AbstractGraphMetric):
 
 class NumberOfTrianglesMetric(AbstractGraphMetric):
     def compute_scalar(self, graph: Graph):
-        return float(structure.triangles(graph).count())
+        return structure.clustering_summary(graph).first()["triangles"]
 
 
 class AverageClusteringCoefficientMetric(AbstractGraphMetric):
