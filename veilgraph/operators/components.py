@@ -19,7 +19,8 @@ from veilgraph.plans.workspace import discard, materialize
 def _star(links: DataFrame, rows: int, large: bool) -> DataFrame:
     """One star step over ``rows`` links (a, b) with a > b."""
     if large:
-        around = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+        around = links.select(F.explode(ways).alias("way")).select("way.u", "way.v")
     else:
         around = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     # written before the join, so that the join has an exchange on either side and its large partitions can be split
