@@ -310,12 +310,10 @@ def test_a_passage_pasted_into_a_sentence_is_cut_like_its_first_copy(spark):
 
 
 def _spans(counts):
-    n = len(counts)
-    enough = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if (j - i >= 3 or (i == 0 and j == n)) and sum(counts[i:j]) >= 20]
-    starts, ends = {}, {}
-    for i, j in enough:
-        starts[i], ends[j] = min(j, starts.get(i, j)), max(i, ends.get(j, i))
-    return sorted({*starts.items(), *((i, j) for j, i in ends.items())})
+    n, found = len(counts), []
+    for i in range(n):
+        found += [(i, j) for j in range(i + 3, n + 1) if sum(counts[i:j]) >= 20][:1]
+    return found or ([(0, n)] if sum(counts) >= 20 else [])
 
 
 def test_spans_are_the_shortest_runs():

@@ -1,8 +1,7 @@
 """Substring dedup over sliding sentence spans.
 
 A text is cut into sentences (to ``.``, ``!``, ``?`` or a line's end); one of more than ``LONG`` words, as where a passage was pasted into another
-sentence, is cut further after words that a hash picks, one in ``CUT``, so that copies are cut alike whatever stands before them. From every sentence on, and up to every
-sentence, the shortest run of at least ``SPAN`` consecutive sentences that has ``MIN_WORDS`` words is hashed to 128 bits over
+sentence, is cut further after words that a hash picks, one in ``CUT``, so that copies are cut alike whatever stands before them. From every sentence on, the shortest run of at least ``SPAN`` consecutive sentences that has ``MIN_WORDS`` words is hashed to 128 bits over
 its words, so white space between them doesn't matter, and many short sentences are caught as
 well as few long ones. Runs are joined over all documents, and the sentences that any non-first
 occurrence covers are removed, the first being the one of the smallest id, then the earliest. A text with fewer sentences
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.llm.rows import unique_ids
-from veilgraph.plans.workspace import bounded_batches, freeing, hold, materialize, release
+from veilgraph.plans.workspace import bounded_batches, discard, freeing, materialize, release
 
 SPAN, MIN_WORDS = 3, 20
 LONG, CUT = 20, 8
@@ -63,36 +62,29 @@ def spans(counts: list[int], span: int = SPAN, min_words: int = MIN_WORDS) -> li
     n, upto = len(counts), [0, *accumulate(counts)]
     if upto[-1] < min_words or not n:
         return []
-    if n < span:
-        return [(0, n)]
-    found, end, first = set(), 0, 0
+    found, end = [], 0
     for i in range(n):
         end = max(end, i + span)
         while end <= n and upto[end] - upto[i] < min_words:
             end += 1
         if end > n:
             break
-        found.add((i, end))
-    for j in range(span, n + 1):
-        while first + 1 <= j - span and upto[j] - upto[first + 1] >= min_words:
-            first += 1
-        if upto[j] - upto[first] >= min_words:
-            found.add((first, j))
-    return sorted(found) or [(0, n)]
+        found.append((i, end))
+    return found or [(0, n)]
 
 
 def _runs(span: int, min_words: int):
     def runs(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sentences = split(text or b"")
                 words = [sentences[k].split() for k in _spoken(sentences)]
                 for first, end in spans(list(map(len, words)), span, min_words):
                     digest = xxhash.xxh3_128_intdigest(b" ".join([w for s in words[first:end] for w in s]))
-                    for column, value in zip(out, ((digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), i, first, end), strict=True):
+                    for column, value in zip(out, ((digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), i, first << 31 | end - first), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["high", "low", "id", "first", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["high", "low", "id", "at"])
 
     return runs
 
@@ -104,7 +96,7 @@ def _cut():
             for i, text, covered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 sentences = split(text or b"")
                 spoken = _spoken(sentences)
-                gone = {spoken[k] for run in covered or () for k in range(run["first"], run["end"])}
+                gone = {spoken[k] for at in covered or () for k in range(at >> 31, (at >> 31) + (at & (1 << 31) - 1))}
                 kept = b"".join(s for k, s in enumerate(sentences) if k not in gone)
                 rows.append((i, len(spoken), len(gone), len(text or b"") - len(kept), kept.decode("utf-8", "replace")))
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -120,11 +112,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(spark)
     keyed = unique_ids(docs, id_col, text_col)
     base = keyed.select("id", "bytes")
-    runs = materialize(base.mapInArrow(freeing(_runs(span, min_words)), "high long, low long, id long, first long, end long"))
-    first = hold(runs.groupBy("high", "low").agg(F.min(F.struct("id", "first", "end")).alias("least"), F.count("*").alias("n")).where("n > 1").select("high", "low", "least"))
+    runs = materialize(base.mapInArrow(freeing(_runs(span, min_words)), "high long, low long, id long, at long"))
+    first = materialize(runs.groupBy("high", "low").agg(F.min(F.struct("id", "at")).alias("least"), F.count("*").alias("n")).where("n > 1").select("high", "low", "least"))
     release(spark)
-    later = runs.alias("runs").join(first, ["high", "low"]).where((F.col("id") != F.col("least.id")) | (F.col("runs.first") != F.col("least.first")) | (F.col("runs.end") != F.col("least.end")))
-    covered = materialize(later.groupBy("id").agg(F.collect_list(F.struct("first", "end")).alias("covered")))
+    later = runs.join(first, ["high", "low"]).where((F.col("id") != F.col("least.id")) | (F.col("at") != F.col("least.at")))
+    covered = materialize(later.groupBy("id").agg(F.collect_list("at").alias("covered")))
+    discard(runs, first)
     release(spark)
     schema = "doc_id long, n_sentences long, n_removed long, n_removed_bytes long, text string"
     return keyed.join(covered, "id", "left").select("own", "bytes", "covered").mapInArrow(freeing(_cut()), schema)
