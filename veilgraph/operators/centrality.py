@@ -18,6 +18,8 @@ from veilgraph.graph import Graph
 from veilgraph.plans.workspace import discard, hold, materialize
 
 KERNEL_EDGES = 2_000_000
+#: Sources whose searches advance together.
+SOURCES = 512
 VALUES = "id long, val double"
 
 
@@ -38,22 +40,27 @@ class Arrays:
         """Neighbours' values summed."""
         return np.bincount(self.src, weights=x[self.dst], minlength=self.n)
 
-    def distances(self, sources: np.ndarray) -> np.ndarray:
-        """Hops from each source (rows) to each node; -1 where there is no path."""
-        hops = np.full((len(sources), self.n), -1, np.int32)
-        hops[np.arange(len(sources)), sources] = 0
-        row, at, step = np.arange(len(sources)), sources.astype(np.int64), 0
-        while len(at):
-            step += 1
-            many = self.degree[at]
-            offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            to = self.dst[np.repeat(self.first[at], many) + offset]
-            row = np.repeat(row, many)
-            new = hops[row, to] < 0
-            key = np.unique(row[new] * self.n + to[new])
-            row, at = key // self.n, key % self.n
-            hops[row, at] = step
-        return hops
+    def hop_counts(self, sources: np.ndarray):
+        """Yield, for each hop from 1 on, how many nodes each source first reaches by it.
+
+        All sources advance together: a node holds a bit per source that has reached it, and a hop is a union of neighbours' bits.
+        """
+        words = -(-len(sources) // 64)
+        seen = np.zeros((self.n, words), np.uint64)
+        at = np.arange(len(sources))
+        np.bitwise_or.at(seen, (sources, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        linked = np.flatnonzero(self.degree)
+        front = seen.copy()
+        while len(linked):
+            new = np.bitwise_or.reduceat(front[self.dst], self.first[linked], axis=0) & ~seen[linked]
+            moved = new.any(1)
+            if not moved.any():
+                return
+            seen[linked] |= new
+            front = np.zeros_like(seen)
+            front[linked] = new
+            bits = np.unpackbits(np.ascontiguousarray(new[moved]).astype("<u8").view(np.uint8), axis=1, bitorder="little")
+            yield bits.sum(0, dtype=np.int64)[: len(sources)]
 
 
 def small(graph: Graph) -> Arrays | None:
@@ -187,13 +194,12 @@ def spectral_radius(arrays: Arrays, rounds: int = 5000, tol: float = 1e-12) -> f
 
 def closeness_of(arrays: Arrays, sources: np.ndarray) -> np.ndarray:
     """(reached - 1) / sum of hops of each source, 0 if it reaches nothing."""
-    out = np.zeros(len(sources))
-    step = max(1, 4_000_000 // max(1, arrays.n))
-    for i in range(0, len(sources), step):
-        hops = arrays.distances(sources[i : i + step])
-        reached, total = (hops > 0).sum(1), np.where(hops > 0, hops, 0).sum(1)
-        out[i : i + step] = np.where(total > 0, reached / np.maximum(total, 1), 0.0)
-    return out
+    reached, total = np.zeros(len(sources), np.int64), np.zeros(len(sources), np.int64)
+    for i in range(0, len(sources), SOURCES):
+        for hop, count in enumerate(arrays.hop_counts(sources[i : i + SOURCES]), 1):
+            reached[i : i + SOURCES] += count
+            total[i : i + SOURCES] += hop * count
+    return np.where(total > 0, reached / np.maximum(total, 1), 0.0)
 
 
 def degree_centrality(graph: Graph) -> DataFrame:
