@@ -91,7 +91,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(links)
     joined = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     joined = hold(joined)
-    ids = hold(joined.groupBy("component").agg(F.min("least").alias("component_id")))
+    # written, as a held table would keep its partitioning, and the join no exchange to split
+    ids = materialize(joined.groupBy("component").agg(F.min("least").alias("component_id")))
     classes = joined.join(ids, "component").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
