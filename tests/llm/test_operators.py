@@ -352,6 +352,43 @@ def test_sentences_joined_are_the_text():
         assert b"".join(sentences.split(text)) == text
 
 
+def _pasted(kind, seed):
+    """(doc_id, text) of pairs, and per pair the passage: 51 to 60 words, as they are in an even document and pasted inside a sentence, at every offset, in the odd one after it."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    table, passages = [], []
+    for n in range(51, 61):
+        for offset in range(23):
+            words = [word()] * n if kind == "one word" else [word() for _ in range(n)]
+            if kind == "three sentences":
+                words = [w + "." if k % 18 == 17 else w for k, w in enumerate(words)]
+            table.append((len(table), " ".join([*words[:-1], words[-1].strip(".") + "."])))
+            table.append((len(table), " ".join([*(word() for _ in range(offset)), *words, *(word() for _ in range(22 - offset))]) + "."))
+            passages.append(words)
+    return table, passages
+
+
+@pytest.mark.parametrize("kind", ["three sentences", "no stops", "one word"])
+def test_passages_pasted_anywhere_are_found(spark, kind):
+    table, passages = _pasted(kind, 21)
+    got = {r.doc_id: r for r in sentences.remove_repeats(spark.createDataFrame(table, "doc_id long, text string"), whole=True).collect()}
+    for k, words in enumerate(passages):
+        assert kind == "one word" or got[2 * k].n_removed == 0
+        assert len(table[2 * k + 1][1].split()) - len(got[2 * k + 1].text.split()) >= 20, (k, words)
+
+
+def test_parts_joined_are_the_text_and_hashes_are_of_the_words():
+    texts = [(t or "").encode() for t in _texts()]
+    parts = sentences.Parts(texts)
+    for t, text in enumerate(texts):
+        a, b = parts.of[t], parts.of[t + 1]
+        assert (a == b) == (not re.search(rb"[^\x20\x09-\x0D]", text))
+        assert a == b or (parts.start[a + 1 : b].tolist() == parts.stop[a : b - 1].tolist() and parts.stop[b - 1] == len(text))
+    again = sentences.Parts([b" \n one  two\tthree. ", b"one two three."])
+    (x, y), (z, w) = ([f(again.bound[again.of[:-1]], again.bound[again.of[1:]]).tolist() for f in again.run])
+    assert x == y and z == w and x != z
+
+
 # 6
 
 

@@ -29,7 +29,7 @@ def op4_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_sentence_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return sentences.remove_repeats(_table(spark, folder, "documents"))
+    return sentences.remove_repeats(_table(spark, folder, "documents"), whole=True)
 
 
 def op6_swap_packing(spark: SparkSession, folder: str) -> DataFrame:
