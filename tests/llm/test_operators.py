@@ -377,6 +377,58 @@ def test_passages_pasted_anywhere_are_found(spark, kind):
         assert len(table[2 * k + 1][1].split()) - len(got[2 * k + 1].text.split()) >= 20, (k, words)
 
 
+def _anchored(counts):
+    """The shortest runs of 20 words from every part, and up to every part."""
+    n, starts, ends = len(counts), {}, {}
+    for i, j in [(i, j) for i in range(n) for j in range(i + 1, n + 1) if sum(counts[i:j]) >= 20]:
+        starts[i], ends[j] = min(j, starts.get(i, j)), max(i, ends.get(j, i))
+    return sorted({*starts.items(), *((i, j) for j, i in ends.items())})
+
+
+def test_runs_from_and_up_to_every_part():
+    texts = [(t or "").encode() for t in _texts() if len(t or "") < 10_000]
+    parts = sentences.Parts(texts)
+    got = sorted((int(i), int(j)) for runs in (parts.from_each(20), parts.up_to_each(20)) for i, j in zip(*runs, strict=True))
+    want = []
+    for t in range(len(texts)):
+        a, b = int(parts.of[t]), int(parts.of[t + 1])
+        want += [(a + i, a + j) for i, j in _anchored(np.diff(parts.bound[a : b + 1]).tolist())]
+    assert got == sorted(want)
+
+
+def test_whole_sentence_spans(docs, rows, spark, empty):
+    seen, want = set(), {}
+    order = [i for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)) if len(rows[i][1] or "") <= 10_000]
+    for i in order:
+        text = (rows[i][1] or "").encode()
+        parts = sentences.Parts([text])
+        words = re.findall(rb"(?:[^\x20\x09-\x0D.!?]*[.!?]+|[^\x20\x09-\x0D.!?]+)", text)
+        bound, gone = parts.bound.tolist(), set()
+        for first, end in _anchored(np.diff(parts.bound).tolist()):
+            run = tuple(words[bound[first] : bound[end]])
+            if run in seen:
+                gone |= set(range(first, end))
+            seen.add(run)
+        kept = b"".join(text[: parts.start[0]] if not k else b"" for k in range(min(1, len(bound) - 1))) if len(bound) > 1 else text
+        kept += b"".join(text[parts.start[k] : parts.stop[k]] for k in range(len(bound) - 1) if k not in gone)
+        want.setdefault(rows[i][0], []).append((len(bound) - 1, len(gone), kept.decode()))
+    got = {}
+    for r in sentences.remove_repeats(docs.where("text is null or length(text) <= 10000"), whole=True).collect():
+        got.setdefault(r.doc_id, []).append((r.n_sentences, r.n_removed, r.text))
+    repeated = rows[-1][0]  # its two texts may come in either order
+    assert {k: sorted(v) for k, v in got.items() if k != repeated} == {k: sorted(v) for k, v in want.items() if k != repeated}
+    assert len(sentences.remove_repeats(docs, whole=True).collect()) == len(rows)
+    assert sentences.remove_repeats(empty, whole=True).count() == 0
+
+
+def test_a_copy_keeps_no_last_words(spark):
+    rng = random.Random(31)
+    texts = [_words(rng, rng.randint(50, 90)) for _ in range(60)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string")
+    got = sentences.remove_repeats(table, whole=True).collect()
+    assert {r.text.strip() for r in got if r.doc_id >= 60} == {""} and all(r.n_removed == 0 for r in got if r.doc_id < 60)
+
+
 def test_parts_joined_are_the_text_and_hashes_are_of_the_words():
     texts = [(t or "").encode() for t in _texts()]
     parts = sentences.Parts(texts)

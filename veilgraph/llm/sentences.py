@@ -16,6 +16,8 @@ table gives an empty result; extra columns are ignored.
 With ``whole``, as the query has it, cuts don't depend on what stands around a passage: every sentence is cut at hashed words whatever its length,
 and after ``STRETCH`` words without a cut, after every word until the next one. From the ``STRETCH``-th word of a passage on, and up to
 its last cut, all copies are cut alike, and runs are accepted by words alone; so any 51 words that repeat hold a run that does.
+The shortest runs up to every part follow, so that the last parts of a repeated passage are in one, too; only those from parts whose
+own shortest run is met more than once, as that run lies within the other and repeats if it does.
 Runs are hashed in numpy, by two polynomials over the words' own hashes.
 """
 
@@ -147,6 +149,15 @@ class Parts:
         fits = end <= self.of[self.text + 1]
         return first[fits], end[fits]
 
+    def up_to_each(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first, end) of the shortest run up to every part that has so many words, where it isn't the shortest from its own first part."""
+        end = np.arange(1, len(self.bound))
+        first = np.searchsorted(self.bound, self.bound[1:] - min_words, "right") - 1
+        fits = first >= self.of[self.text]
+        first, end = first[fits], end[fits]
+        more = np.searchsorted(self.bound, self.bound[first] + min_words) < end
+        return first[more], end[more]
+
     def rows(self, ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
         text = self.text[first]
         digests = [f(self.bound[first], self.bound[end]).view(np.int64) for f in self.run]
@@ -178,6 +189,21 @@ def _whole_runs(min_words: int):
     return runs
 
 
+def _whole_ends(min_words: int):
+    def ends(batches):
+        for batch in batches:
+            ids, starts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            for rows, texts in _pieces(batch):
+                parts = Parts(texts)
+                met = np.zeros(len(parts.bound), bool)
+                for t, i in enumerate(rows):
+                    met[parts.of[t] + np.array(starts[i].as_py(), np.int64)] = True
+                first, end = parts.up_to_each(min_words)
+                yield parts.rows(ids[rows], first[met[first]], end[met[first]])
+
+    return ends
+
+
 def _whole_cut(batches):
     for batch in batches:
         own, covered = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -232,11 +258,11 @@ def _cut():
     return cut
 
 
-def _met(runs: DataFrame) -> DataFrame:
+def _met(runs: DataFrame, parts: int = PARTS) -> DataFrame:
     """(id, at, later) of the runs that are met more than once; ``later`` for all but the first of each."""
     out = []
-    for part in range(PARTS):
-        rows = runs.where(F.pmod("high", F.lit(PARTS)) == part)
+    for part in range(parts):
+        rows = runs.where(F.pmod("high", F.lit(parts)) == part)
         first = materialize(rows.groupBy("high", "low").agg(F.min(F.struct("id", "at")).alias("least"), F.count("*").alias("n")).where("n > 1").select("high", "low", "least"))
         release(runs.sparkSession)
         later = (F.col("id") != F.col("least.id")) | (F.col("at") != F.col("least.at"))
@@ -251,8 +277,13 @@ def _remove_whole(keyed: DataFrame, min_words: int) -> DataFrame:
     runs = materialize(keyed.select("id", "bytes").mapInArrow(freeing(_whole_runs(min_words)), _RUN))
     met = _met(runs)
     discard(runs)
-    covered = materialize(met.where("later").groupBy("id").agg(F.collect_list("at").alias("covered")))
-    discard(met)
+    starts = met.groupBy("id").agg(F.collect_list(F.shiftright("at", 31)).alias("starts"))
+    ends = materialize(keyed.select("id", "bytes").join(starts, "id").mapInArrow(freeing(_whole_ends(min_words)), _RUN))
+    release(spark)
+    met_ends = _met(ends, 1)
+    discard(ends)
+    covered = materialize(met.unionByName(met_ends).where("later").groupBy("id").agg(F.collect_list("at").alias("covered")))
+    discard(met, met_ends)
     release(spark)
     return keyed.join(covered, "id", "left").select("own", "bytes", "covered").mapInArrow(freeing(_whole_cut), _RESULT)
 
