@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table with the awkward cases, and on an empty one."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -482,6 +483,26 @@ def test_local_search_empties_bins_that_best_fit_leaves():
         assert all(sum(sizes[i] for i in b) <= 64 for b in end) and len(end) <= len(start)
 
 
+def test_local_search_ends_only_when_nothing_raises_the_sum_of_squares():
+    rng = random.Random(14)
+    for _ in range(20):
+        sizes = [rng.randint(12, 40) for _ in range(rng.randint(20, 80))]
+        end = packing.local_search(sizes, packing.best_fit(sizes, 64), 64)
+        if len(end) <= -(-sum(sizes) // 64):
+            continue
+        fill = [sum(sizes[i] for i in b) for b in end]
+        for s, t in itertools.permutations([b for b in range(len(end)) if fill[b] < 64], 2):
+            gifts = [sizes[i] for i in end[s]] + [sizes[i] + sizes[j] for i, j in itertools.combinations(end[s], 2)]
+            for shift in (g - back for g in gifts for back in (0, *(sizes[i] for i in end[t]))):
+                assert shift <= 0 or fill[t] + shift > 64 or fill[t] - fill[s] + shift <= 0
+
+
+def test_local_search_goes_on_for_a_whole_task():
+    rng = random.Random(1)
+    sizes = [rng.randint(500, 1000) for _ in range(packing.TASK)]
+    assert len(packing.local_search(sizes, packing.best_fit(sizes, 2048), 2048)) <= 6420  # 6,000 at the least; best fit makes 6,660
+
+
 # 7
 
 

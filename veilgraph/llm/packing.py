@@ -7,7 +7,7 @@ others, at most one per document, are dealt evenly to tasks of about ``TASK`` pi
 1. places them best-fit in decreasing length, then
 2. empties its least filled sequences by local search: it moves a document to another underfull sequence, or
    exchanges one for one or two for one, each time what raises the sum of squared fills most for the
-   sequence being emptied, until that sequence is empty or nothing raises the sum.
+   sequence being emptied. It ends when no sequence can give in a way that raises the sum, or with as few sequences as can be.
 
 More tasks cost at most a part of a sequence each. A vocabulary of byte-level BPE without merges
 to skip is run by ``tiktoken`` from the ranks in the tokenizer's file, as it gives the same ids at several times the speed; any other,
@@ -19,6 +19,7 @@ documents; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import json
 import zlib
 
@@ -32,8 +33,6 @@ from pyspark.sql import functions as F
 from veilgraph.plans.workspace import bounded_batches, freeing, materialize
 
 LENGTH, END, TASK = 2048, 0, 16384
-#: Steps of a task's search, least filled sequences tried in a step, and their longest documents that are given in pairs.
-STEPS, GIVING, PAIRED = 500, 16, 12
 #: How GPT-2's pre-tokenizer splits text before the merges.
 _PATTERN = public_tokenizers.PATTERN
 _LOADED: dict[str, tuple] = {}
@@ -123,59 +122,104 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _best_move(source: int, bins: list[list[int]], size: np.ndarray, fill: np.ndarray, under: np.ndarray, capacity: int):
-    """(items given, items taken back, target) that raises the sum of squared fills most as ``source`` gives to an underfull bin; None if nothing does."""
-    mine = sorted(bins[source], key=lambda i: -size[i])
-    room = capacity - fill[under]
-    back_item = np.concatenate([np.array(bins[b]) for b in under])
-    back_bin = np.repeat(under, [len(bins[b]) for b in under])
-    back_size, back_room, back_fill = size[back_item], capacity - fill[back_bin], fill[back_bin]
-    few = mine[:PAIRED]
-    gifts = [(i,) for i in mine] + [(a, b) for k, a in enumerate(few) for b in few[k + 1 :]]
-    best, move = 0, None
-    for given in gifts:
-        amount = int(size[list(given)].sum())
-        fits = np.flatnonzero(room >= amount)
-        if len(fits):
-            k = int(under[fits[np.argmax(fill[under[fits]])]])
-            gain = 2 * amount * int(fill[k] - fill[source] + amount)
-            if gain > best:
-                best, move = gain, (given, (), k)
-        shift = amount - back_size
-        gains = np.where((shift > 0) & (shift <= back_room), 2 * shift * (back_fill - fill[source] + shift), 0)
-        k = int(np.argmax(gains))
-        if gains[k] > best:
-            best, move = int(gains[k]), (given, (int(back_item[k]),), int(back_bin[k]))
-    return move
-
-
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, steps: int = STEPS) -> list[list[int]]:
-    """Fewer bins, where moves and exchanges between underfull bins can empty some; as many as the sizes need end the search at once.
-
-    Every step raises the sum of squared fills, the least filled bin that can give giving first. ``steps`` bounds the work, not the result's validity.
-    """
-    size = np.array(sizes, np.int64)
-    bins = [list(b) for b in bins]
-    fill = np.array([size[b].sum() for b in bins], np.int64)
-    least = -(-int(size.sum()) // capacity)
-    for _ in range(steps):
-        under = np.flatnonzero((fill > 0) & (fill < capacity))
-        if np.count_nonzero(fill) <= least or len(under) < 2:
-            break
-        for source in under[np.argsort(fill[under], kind="stable")][:GIVING]:
-            move = _best_move(int(source), bins, size, fill, under[under != source], capacity)
-            if move:
-                break
+class _Underfull:
+    """Bins with room, by their fill and the sizes they hold; size 0 stands for a bin itself, which a mere move takes nothing from."""
+
+    def __init__(self, size: np.ndarray, bins: list[list[int]], capacity: int):
+        self.size, self.bins, self.capacity = size, [list(b) for b in bins], capacity
+        self.fill = [int(size[b].sum()) for b in bins]
+        self.kinds = np.unique(np.concatenate(([0], size)))
+        self.row = np.searchsorted(self.kinds, size).tolist()
+        self.count = np.zeros((len(self.kinds), capacity), np.int32)
+        self.at: dict[int, set[int]] = {}
+        for b in range(len(bins)):
+            self._put(b, 1)
+        self.below = np.maximum.accumulate(np.where(self.count > 0, np.arange(capacity), -1), axis=1)  # the largest fill up to each
+
+    def _put(self, b: int, sign: int) -> list[int]:
+        """Enter a bin, or take it out; the rows of its sizes."""
+        fill = self.fill[b]
+        if not 0 < fill < self.capacity:
+            return []
+        rows = [0, *(self.row[i] for i in self.bins[b])]
+        for r in rows:
+            self.count[r, fill] += sign
+        same = self.at.setdefault(fill, set())
+        if sign > 0:
+            same.add(b)
         else:
-            break
-        given, taken, target = move
-        for items, here, there in ((given, int(source), target), (taken, target, int(source))):
+            same.discard(b)
+        return rows
+
+    def put(self, b: int, sign: int) -> None:
+        rows = np.unique(self._put(b, sign)).astype(np.int64)
+        if len(rows):
+            self.below[rows] = np.maximum.accumulate(np.where(self.count[rows] > 0, np.arange(self.capacity), -1), axis=1)
+
+    def move(self, source: int) -> int | None:
+        """Give what raises the sum of squared fills most to another underfull bin, for a document of it or for none; that bin, or None if nothing raises it."""
+        self.put(source, -1)
+        mine, fill = self.bins[source], self.fill[source]
+        gifts = {}
+        for k, i in enumerate(mine):
+            gifts.setdefault(int(self.size[i]), (i,))
+            for j in mine[k + 1 :]:
+                gifts.setdefault(int(self.size[i] + self.size[j]), (i, j))
+        amounts, rows = np.array(sorted(gifts), np.int64), np.arange(len(self.kinds))
+        best, found = 0, None
+        for k in range(0, len(amounts), 64):
+            shift = amounts[k : k + 64, None] - self.kinds
+            fills = self.below[rows, np.clip(self.capacity - shift, 0, self.capacity - 1)]
+            gains = np.where((shift > 0) & (shift < self.capacity) & (fills > 0), 2 * shift * (fills - fill + shift), 0)
+            most = int(gains.argmax())
+            if gains.flat[most] > best:
+                g, r = divmod(most, len(self.kinds))
+                best, found = int(gains.flat[most]), (int(amounts[k + g]), r, int(fills[g, r]))
+        if found is None:
+            self.put(source, 1)
+            return None
+        amount, row, level = found
+        target = next(b for b in self.at[level] if not row or any(self.row[i] == row for i in self.bins[b]))
+        back = [next(i for i in self.bins[target] if self.row[i] == row)] if row else []
+        self.put(target, -1)
+        for items, here, there in ((gifts[amount], source, target), (back, target, source)):
             for i in items:
-                bins[here].remove(i)
-                bins[there].append(i)
-                fill[here] -= size[i]
-                fill[there] += size[i]
-    return [b for b in bins if b]
+                self.bins[here].remove(i)
+                self.bins[there].append(i)
+        shift = amount - int(self.kinds[row])
+        self.fill[source] -= shift
+        self.fill[target] += shift
+        self.put(source, 1)
+        self.put(target, 1)
+        return target
+
+
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Fewer bins, where moves and exchanges between underfull bins can empty some.
+
+    Every step raises the sum of squared fills, the least filled bin that can give giving first. The search ends when no bin can give, or
+    with as many bins as the sizes need at the least.
+    """
+    size = np.array(sizes, np.int64)
+    least, left = -(-int(size.sum()) // capacity), len(bins)
+    if left <= least:
+        return [list(b) for b in bins]
+    under = _Underfull(size, bins, capacity)
+    moved = True
+    while moved and left > least:
+        moved = False
+        queue = [(f, b) for b, f in enumerate(under.fill) if 0 < f < capacity]
+        heapq.heapify(queue)
+        while queue and left > least:
+            fill, source = heapq.heappop(queue)
+            if fill != under.fill[source] or (target := under.move(source)) is None:
+                continue
+            moved = True
+            left -= not under.bins[source]
+            for b in (source, target):
+                if 0 < under.fill[b] < capacity:
+                    heapq.heappush(queue, (under.fill[b], b))
+    return [b for b in under.bins if b]
 
 
 def _pack(length: int):
