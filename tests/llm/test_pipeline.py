@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilgraph.llm import packing, simhash
+from veilgraph.llm import mixing, packing, simhash
 from veilgraph.plans.workspace import materialize
 
 from .test_operators import _components, _fingerprint, _targets
@@ -117,3 +117,22 @@ def test_empty_and_odd_documents(spark):
             docs = materialize(stage(spark, docs, FOLDER))
         assert docs.count() >= 0
     assert simhash.keep_first(odd.withColumn("component_id", F.lit(1))).columns == [*odd.columns, "component_id"]
+
+
+def test_null_and_repeated_ids(spark):
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    texts = [" ".join(f"{w}{k}" for w in ("apple", "birch", "cedar", "delta", "ember", "flint")) for k in range(9)]
+    ids = [None, None, 7, 7, 7, 3, None, 3, 12]
+    # one source: its target is its size, so that the mix takes every row once
+    table = [(i, t, "en", "a", len(t)) for i, t in zip(ids, texts, strict=True)]
+    docs = spark.createDataFrame(table, schema).repartition(3)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=key) == sorted(table, key=key)
+    assert sorted(map(tuple, simhash.keep_first(docs).collect()), key=key) == sorted(table, key=key)
+    # copies: of texts 2 (ids 7, 3, null), 0 (two null ids), 5 (id 3 twice); the row of the smallest id stays, once
+    more = [(3, texts[2], "en", "a", len(texts[2])), (None, texts[2], "en", "a", len(texts[2])), (None, texts[0], "en", "a", len(texts[0])), (3, texts[5], "en", "a", len(texts[5]))]
+    copies = spark.createDataFrame(table + more, schema).repartition(3)
+    want = [more[0], *(r for r in table if r[1] != texts[2])]
+    kept = simhash.keep_first(copies)
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, mixing.mix(kept).collect()), key=key) == sorted(want, key=key)

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgraph.llm.rows import with_keys
 from veilgraph.plans.workspace import hold, materialize
 
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -133,9 +134,10 @@ def in_order(planned: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, schedules=SCHEDULES) -> DataFrame:
-    """``docs`` as the training order has them: one row per copy, range-sorted by position. Ids are to be unique and not null."""
-    order = plan(docs, id_col, text_col, source_col, weights, cap, schedules).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.explode("positions").alias("_mix_at"))
-    joined = docs.join(order, docs[id_col].cast("long") == order["_mix_id"])
+    """``docs`` as the training order has them: one row per copy, range-sorted by position. Where ids are null or repeat, rows are planned by their number (``with_keys``) instead."""
+    keyed = with_keys(docs, id_col, [text_col, source_col], "_mix_key")
+    order = plan(keyed, "_mix_key", text_col, source_col, weights, cap, schedules).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.explode("positions").alias("_mix_at"))
+    joined = keyed.join(order, F.col("_mix_key") == F.col("_mix_id"))
     return joined.repartitionByRange("_mix_at", "_mix_id").sortWithinPartitions("_mix_at", "_mix_id").select(*docs.columns)
 
 

@@ -21,3 +21,11 @@ def unique_ids(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = (
         return plain.select(F.col("own").alias("id"), "bytes", "own", *more)
     order = [F.col("own").asc_nulls_last(), F.xxhash64("bytes")]
     return materialize(numbered(plain, order, name="id").select("id", "bytes", "own", *more))
+
+
+def with_keys(docs: DataFrame, id_col: str, by: list[str], name: str) -> DataFrame:
+    """``docs`` with a unique long key ``name`` in the order of the ids: the id itself where none is null or repeated, else the row's number by id, nulls last, then by the hash of the columns ``by``."""
+    own = docs[id_col].cast("long")
+    if docs.select(own.alias("own")).groupBy("own").count().where("count > 1 or own is null").limit(1).count() == 0:
+        return docs.withColumn(name, own)
+    return materialize(numbered(docs, [own.asc_nulls_last(), F.xxhash64(*(docs[c] for c in by))], name=name))

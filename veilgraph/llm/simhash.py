@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilgraph.llm.rows import with_keys
 from veilgraph.operators.components import connected_components
 from veilgraph.plans.workspace import bounded_batches, freeing, hold, materialize
 
@@ -98,7 +99,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those with its smallest id."""
-    groups = near_duplicates(docs, id_col, text_col, radius)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_first")), "left_semi")
+    """The rows of ``docs`` that stand for their component, exactly one each: the one with its smallest id, and of several with that id the one whose text's hash is least."""
+    keyed = with_keys(docs, id_col, [text_col], "_first_key")
+    groups = near_duplicates(keyed, "_first_key", text_col, radius)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
+    return keyed.join(first, F.col("_first_key") == F.col("_first"), "left_semi").select(*docs.columns)
