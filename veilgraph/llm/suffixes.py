@@ -8,18 +8,21 @@ windows never cross documents, and all are judged on the input.
    equals, so equal windows have equal anchors at equal offsets. Consecutive windows with one anchor
    form a *run*: a string of LENGTH - 1 bytes more than it has windows. Only runs whose gram occurs in more than
    one run can hold a repeated window; the others end here.
-2. Equal runs. Of runs with the same bytes, all windows of all but the first are repeats; one row each settles
-   them, with map-side combine, whatever the size of the group. The first of each kind stays.
-3. Suffix arrays. Different runs that share a gram may still share windows. Their first occurrences
-   are dealt by gram to tasks, in document order. A task keeps a family of levels, each the sorted
-   array of the suffixes (to LENGTH bytes) seen so far: a new batch gets its own suffix array, is
-   merge-scanned against the levels, and enters as the smallest level; two levels of equal size
-   merge into one of twice the size, so a suffix is merged a logarithmic number of times.
-4. Grams shared by more than ``HOT`` different runs (the edges of very common passages) would fill
-   one task. Their runs are cut to single windows, for which step 2 alone is exact.
-
-Steps 1, 2 and 4 compare 64-bit hashes of bytes within groups that already agree in another 64-bit
-hash; step 3 compares the bytes.
+2. Equal runs. Runs with the same bytes are one string before the shuffle: all windows of all but the
+   first are repeats, one row each whatever the size of the group, and the first goes on.
+3. Dealing. The different runs of one gram go to one task. Where a key has more than ``GROUP`` of them (the
+   edges of very common passages), its runs are cut in two by the place of the gram in the window, and
+   the bytes that all windows of a half have in common are its longer key; halves whose key nobody shares
+   end here, equal halves are one again. This goes on until no key has more, at most to the whole window. A
+   run is two rows then, never one for each window, and equal windows always meet under one key.
+4. Suffix arrays. Every task keeps a logarithmic family of levels, each the positions of the distinct
+   suffixes (to LENGTH bytes) in sorted order. Runs come in document order: a batch gets its own suffix array, is
+   merge-scanned against every level for matches, and enters as a level of rank 0; two levels of
+   equal rank merge into one of the next, so a suffix is merged a logarithmic number of times. All that
+   is found in different runs is found here.
+
+Steps 1 to 3 compare 64-bit hashes of bytes within groups that already agree in another 64-bit
+hash; step 4 compares the bytes.
 
 Cases: a null text is empty; texts under LENGTH bytes stay whole; rows with the same id are ordered
 by their text's hash, null ids last (``row_ids``); an empty table gives an empty result; extra
@@ -29,17 +32,20 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.llm.rows import unique_ids
-from veilgraph.plans.workspace import bounded_batches, discard, freeing, hold, materialize, release
+from veilgraph.plans.workspace import bounded_batches, discard, freeing, materialize, release
 
 LENGTH, GRAM = 100, 32
-HOT = 256
+#: Different runs of a key beyond which it is dealt by longer keys; results don't depend on it.
+GROUP = 256
 #: Bytes of text hashed at once; positions in it fit in _POS bits.
 SEGMENT = 1 << 18
 _POS = np.uint64(20)
@@ -159,35 +165,55 @@ _SPAN = "id long, first long, n int"
 
 
 class Levels:
-    """A logarithmic family of suffix arrays, each holding the sorted distinct suffixes cut at ``length`` bytes."""
+    """A logarithmic family of suffix arrays, each the positions in ``text`` of distinct suffixes cut at ``length`` bytes, sorted by these bytes."""
 
     def __init__(self, length: int = LENGTH):
         self.length = length
-        self.levels: list[np.ndarray] = []
+        self.text = np.empty(0, np.uint8)
+        self.levels: list[np.ndarray | None] = []  # by rank
+
+    def suffixes(self, at: np.ndarray) -> np.ndarray:
+        """The bytes at these positions, as strings that numpy compares."""
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text, self.length)[at]).view(f"S{self.length}").ravel()
+
+    def _merged(self, level: np.ndarray, array: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both sorted arrays merged, and for each of the merged whether it equals the one before it; of equals, the level's comes first."""
+        strings = np.concatenate((self.suffixes(level), self.suffixes(array)))
+        order = np.argsort(strings, kind="stable")  # of two sorted runs: one merge
+        strings = strings[order]
+        return order, np.concatenate(([False], strings[1:] == strings[:-1]))
 
     def add(self, texts: list[bytes], counts: np.ndarray) -> np.ndarray:
         """For every window of a batch, in order: whether an equal one came before. texts[i] has counts[i] windows."""
-        buf = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        text_at, window_at = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+        text_at, window_at = np.cumsum(sizes) - sizes + len(self.text), np.cumsum(counts) - counts
+        self.text = np.concatenate((self.text, np.frombuffer(b"".join(texts), np.uint8)))
         at = np.arange(counts.sum()) + np.repeat(text_at - window_at, counts)
-        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, self.length)[at]).view(f"S{self.length}").ravel()
-        array = np.argsort(suffixes, kind="stable")  # equal suffixes stay in order of arrival
-        ordered = suffixes[array]
+        if not len(at):
+            return np.zeros(0, bool)
+        strings = self.suffixes(at)
+        order = np.argsort(strings, kind="stable")  # equal suffixes stay in order of arrival
+        strings = strings[order]
         seen = np.zeros(len(at), bool)
-        seen[1:] = ordered[1:] == ordered[:-1]
+        seen[order[1:]] = strings[1:] == strings[:-1]
+        firsts = order[~seen[order]]
+        array, known = at[firsts], np.zeros(len(firsts), bool)
         for level in self.levels:
-            place = np.searchsorted(level, ordered)
-            seen |= level[np.minimum(place, len(level) - 1)] == ordered
-        out = np.empty(len(at), bool)
-        out[array] = seen
-        if len(new := ordered[~seen]):
+            if level is not None:
+                merged, equal = self._merged(level, array)
+                known[merged[equal] - len(level)] = True
+        seen[firsts[known]] = True
+        if len(new := array[~known]):
             self._enter(new)
-        return out
+        return seen
 
     def _enter(self, level: np.ndarray) -> None:
-        while self.levels and len(self.levels[-1]) < 2 * len(level):
-            level = np.sort(np.concatenate((self.levels.pop(), level)), kind="stable")  # two sorted runs: a merge
+        for rank, other in enumerate(self.levels):
+            if other is None:
+                self.levels[rank] = level
+                return
+            level = np.concatenate((other, level))[self._merged(other, level)[0]]
+            self.levels[rank] = None
         self.levels.append(level)
 
 
@@ -237,56 +263,65 @@ def _cut(length: int):
 
     def cut(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for i, text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for c in chosen:
-                    for column, value in zip(out, (c["gram"], i, c["first"], c["n"], c["hot"], text[c["first"] : c["first"] + c["n"] + length - 1]), strict=True):
+                    for column, value in zip(out, (c["gram"], i, c["first"], c["n"], text[c["first"] : c["first"] + c["n"] + length - 1]), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["gram", "id", "first", "n", "hot", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["gram", "id", "first", "n", "bytes"])
 
     return cut
 
 
-def _windows(length: int):
-    """Every window of the runs, as two hashes of its bytes."""
+def halves(text: bytes, n: int, length: int, gram: int, level: int) -> list[tuple[bytes, int, int]]:
+    """The parts of a run of ``n`` windows (key, first window, windows) when the places that its gram can have in a window are cut into 2**level blocks.
 
-    def windows(batches):
+    A part's key holds the bytes that all windows with the gram in that block have in common, and which block it is.
+    """
+    places = length - gram + 1
+    hashes = Hashes(np.frombuffer(text, np.uint8)).all(gram)[:places]
+    anchor = int(np.argmin(hashes & ~np.uint64((1 << int(_POS)) - 1)))  # as in ``runs``: the leftmost of the least
+    out, window = [], 0
+    while window < n:
+        block = (anchor - window << level) // places
+        low, high = -(-(block * places) >> level), -(-((block + 1) * places) >> level) - 1
+        end = min(n, anchor - low + 1)
+        out.append((b"%d:" % block + text[anchor - low : anchor - high + length], window, end - window))
+        window = end
+    return out
+
+
+def _halve(length: int, gram: int, level: int):
+    """Parts of runs, with the hashes of their keys and of all their bytes."""
+
+    def halve(batches):
         for batch in batches:
-            ids, firsts, counts, texts = (batch.column(i).to_pylist() for i in range(4))
-            at = 0
-            while at < len(ids):
-                upto, size = at, 0
-                while upto < len(ids) and (upto == at or size + len(texts[upto]) <= SEGMENT):
-                    size += len(texts[upto])
-                    upto += 1
-                n = np.array(counts[at:upto], np.int64)
-                sizes = np.fromiter(map(len, texts[at:upto]), np.int64, upto - at)
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = inner + np.repeat(np.cumsum(sizes) - sizes, n)
-                hashes = Hashes(np.frombuffer(b"".join(texts[at:upto]), np.uint8))
-                half = length // 2
-                left, right = hashes(start, start + half), hashes(start + half, start + length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(np.repeat(np.array(ids[at:upto], np.int64), n)), pa.array(inner + np.repeat(np.array(firsts[at:upto], np.int64), n)), pa.array(np.ones(len(start), np.int32))],
-                    names=["gram", "whole", "id", "first", "n"],
-                )
-                at = upto
+            out: list[list] = [[], [], [], [], [], []]
+            for i, first, n, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                for key, window, count in halves(text, n, length, gram, level):
+                    part = text[window : window + count + length - 1]
+                    row = (xxhash.xxh3_64_intdigest(key) - (1 << 63), xxhash.xxh3_64_intdigest(part, level) - (1 << 63), i, first + window, count, part)
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["gram", "whole", "id", "first", "n", "bytes"])
 
-    return windows
+    return halve
 
 
-def _repeats(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Equal runs (same gram and whole): the spans of all but the first, and the first of each kind."""
-    least = materialize(found.groupBy("gram", "whole").agg(F.min(F.struct("id", "first")).alias("least"), F.max("n").alias("n"), F.count("*").alias("copies")))
+def _repeats(found: DataFrame, more: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """Equal runs (same gram and whole): the spans of all but the first, and the first of each kind with its columns ``more``."""
+    kept = F.min(F.struct("id", "first", *more)).alias("least")
+    least = materialize(found.groupBy("gram", "whole").agg(kept, F.max("n").alias("n"), F.count("*").alias("copies")))
     later = (
-        found.join(least.where("copies > 1").select("gram", "whole", "least"), ["gram", "whole"])
-        .where((F.col("id") != F.col("least.id")) | (F.col("first") != F.col("least.first")))
+        found.join(least.where("copies > 1").select("gram", "whole", "least.id", "least.first").withColumnsRenamed({"id": "least_id", "first": "least_first"}), ["gram", "whole"])
+        .where("id <> least_id or first <> least_first")
         .select("id", "first", "n")
     )
-    return later, least.select("gram", F.col("least.id").alias("id"), F.col("least.first").alias("first"), "n")
+    return later, least.select("gram", "least.id", "least.first", "n", *(f"least.{c}" for c in more))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(id, first, n) over ``docs`` (id, bytes): n windows from ``first`` on of document id occur earlier. Spans may touch or overlap."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -295,21 +330,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     shared = materialize(found.join(counts.hint("shuffle_hash"), "gram"))
     release(spark)
     later, kinds = _repeats(shared)
-    later = materialize(later)
+    spans = materialize(later)
     discard(shared)
-    classes = materialize(kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("windows")).where("kinds > 1"))
-    mixed = kinds.join(classes, "gram").select("id", F.struct("gram", "first", "n", (F.col("kinds") > hot).alias("hot")).alias("run"))
+    mixed = kinds.join(kinds.groupBy("gram").count().where("count > 1").select("gram"), "gram").select("id", F.struct("gram", "first", "n").alias("run"))
     chosen = mixed.groupBy("id").agg(F.collect_list("run").alias("chosen"))
-    texts = materialize(docs.select("id", "bytes").join(chosen, "id").mapInArrow(freeing(_cut(length)), "gram long, id long, first long, n int, hot boolean, bytes binary"))
+    texts = materialize(docs.select("id", "bytes").join(chosen, "id").mapInArrow(freeing(_cut(length)), "gram long, id long, first long, n int, bytes binary"))
     release(spark)
-    total, most = classes.agg(F.sum(F.when(F.col("kinds") <= hot, F.col("windows"))), F.max("kinds")).first()
-    tasks = max(1, -(-(total or 0) // TASK))
-    cold = texts.where("not hot").repartition(tasks, "gram").sortWithinPartitions("id", "first")
-    spans = later.unionByName(cold.select("id", "first", "n", "bytes").mapInArrow(freeing(_scan(length)), _SPAN))
-    if (most or 0) > hot:
-        single = hold(texts.where("hot").select("id", "first", "n", "bytes").mapInArrow(freeing(_windows(length)), _RUN))
-        spans = spans.unionByName(_repeats(single)[0])
-    return spans
+    dealt, windows, level = [], 0, 0
+    while True:
+        sizes = materialize(texts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("windows")).where("kinds > 1"))
+        few, many = F.col("kinds") <= group, F.col("kinds") > group
+        dealt.append(texts.join(sizes.where(few).select("gram"), "gram"))
+        now, large = sizes.agg(F.sum(F.when(few, F.col("windows"))), F.count_if(many)).first()
+        windows += now or 0
+        if not large:
+            break
+        level += 1  # keys of many runs are dealt by longer ones
+        parts = materialize(texts.join(sizes.where(many).select("gram"), "gram").select("id", "first", "n", "bytes").mapInArrow(freeing(_halve(length, gram, level)), f"{_RUN}, bytes binary"))
+        later, kinds = _repeats(parts, ("bytes",))
+        spans = spans.unionByName(later)
+        texts = kinds.select("gram", "id", "first", "n", "bytes")
+    tasks = max(1, -(-windows // TASK))
+    rows = reduce(DataFrame.unionByName, dealt).repartition(tasks, "gram").sortWithinPartitions("id", "first")
+    return spans.unionByName(rows.select("id", "first", "n", "bytes").mapInArrow(freeing(_scan(length)), _SPAN))
 
 
 def _keep(length: int, with_text: bool, carried: list[str]):
@@ -319,8 +362,8 @@ def _keep(length: int, with_text: bool, carried: list[str]):
     def keep(batches):
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text, kept, end, removed, n = text or b"", [], 0, 0, 0
+            for given, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text, kept, end, removed, n = given or b"", [], 0, 0, 0
                 last = -1
                 for first, count in sorted((s["first"], s["n"]) for s in spans or ()):
                     stop = first + count + length - 1
@@ -333,7 +376,7 @@ def _keep(length: int, with_text: bool, carried: list[str]):
                         end = last = stop
                 kept.append(text[end:])
                 whole = b"".join(kept)
-                rows.append((len(text), removed, n, hashlib.sha256(whole).hexdigest(), *([whole.decode("utf-8", "ignore")] if with_text else [])))
+                rows.append((len(text), removed, n, hashlib.sha256(whole).hexdigest(), *([given and whole.decode("utf-8", "ignore")] if with_text else [])))
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *batch.columns[3:]], names=["doc_id", *names, *carried]
@@ -342,11 +385,8 @@ def _keep(length: int, with_text: bool, carried: list[str]):
     return keep
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, carry: list[str] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], columns in ``carry``) for every row of ``docs``; n_spans counts maximal removed runs of bytes.
-
-    kept is what is left as text: a character of which a part was removed goes whole.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, with_text: bool, carry: list[str]) -> DataFrame:
+    """The columns of ``remove_repeats``, the carried ones under private names."""
     spark = docs.sparkSession
     keyed = unique_ids(docs, id_col, text_col, carry)
     spans = repeated_spans(keyed.select("id", "bytes"), length)
@@ -355,5 +395,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carried = [f"_carried_{i}" for i in range(len(carry))]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
     schema += "".join(f", {c} {keyed.schema[c].dataType.simpleString()}" for c in carried)
-    out = keyed.join(per, "id", "left").select("own", "bytes", "spans", *carried).mapInArrow(freeing(_keep(length, with_text, carried)), schema)
-    return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))
+    return keyed.join(per, "id", "left").select("own", "bytes", "spans", *carried).mapInArrow(freeing(_keep(length, with_text, carried)), schema)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``; n_spans counts maximal removed runs of bytes."""
+    return _judged(docs, id_col, text_col, length, False, [])
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
+    """``docs`` without the bytes that repeat earlier ones, all its columns kept whatever their names; ``chars_col``, if there is one, is counted anew.
+
+    A character of which a part was removed goes whole, and so does a document of which no word is left; rows from which nothing is removed stay as they are, null texts too.
+    """
+    carry = [c for c in docs.columns if c not in (id_col, text_col)]
+    out = _judged(docs, id_col, text_col, length, True, carry).where((F.col("n_removed") == 0) | F.col("kept").rlike("[^\\x20\\x09-\\x0D]"))
+    now = {id_col: F.col("doc_id"), text_col: F.col("kept")} | {c: F.col(f"_carried_{i}") for i, c in enumerate(carry)}
+    if chars_col in now:
+        now[chars_col] = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(now[chars_col]).cast(docs.schema[chars_col].dataType)
+    return out.select(*(now[c].alias(c) for c in docs.columns))
