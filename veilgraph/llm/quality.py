@@ -6,8 +6,8 @@ the identity by ``gamma`` (Friedman, "Regularized Discriminant Analysis", 1989);
 loss. A text's raw score is the difference of the classes' log densities: Mahalanobis terms by the cached Cholesky factors,
 and log determinants. A logistic line fitted on the held-out folds' raw scores makes it a probability.
 
-The fit uses at most ``SAMPLE`` labelled rows, those with the least hash of their id, so the driver holds a
-bounded matrix however many labels there are; the model is a few kilobytes.
+The fit uses at most ``SAMPLE`` labelled ids, those with the least hash, and one row for each (of several documents with one id the one whose
+statistics come first), so the driver holds a bounded matrix however many labels and copies there are; the model is a few kilobytes.
 
 Cases: a null text is empty, and an empty text has a score like any other; a label that is neither 0 nor 1,
 has a null id, or contradicts another of its document isn't used; with fewer than two usable labels of a class every text gets the
@@ -142,7 +142,7 @@ class Model:
 def _statistics(batches):
     for batch in batches:
         rows = [statistics(t or b"") for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
 
 def _score(model: Model):
@@ -166,7 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top")
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "label")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(freeing(_statistics), "label int, x array<double>").limit(2 * sample).toArrow()
+    measured = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id").mapInArrow(freeing(_statistics), "doc_id long, x array<double>")
+    # one row per chosen id, whatever the number of documents with it
+    rows = measured.groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(chosen), "doc_id").select("label", "x").toArrow()
     y = np.asarray(rows.column("label").combine_chunks(), dtype=np.int64) if rows.num_rows else np.empty(0, np.int64)
     x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(len(y), -1) if len(y) else np.empty((0, len(NAMES)))
     order = np.lexsort((*x.T, y)) if len(y) else np.empty(0, np.int64)  # rows come in any order
