@@ -1,17 +1,19 @@
 """Embedding near-dedup by product quantisation.
 
-Coarse centroids and the codebooks of the residuals' subspaces are fitted on a bounded sample
-(``SAMPLE`` vectors, those with the least hash of their id). Every vector is stored in the inverted
+Equal vectors are one before anything is compared, with the number of them as its weight. Coarse centroids and the codebooks of the residuals'
+subspaces are fitted on a sample bounded in rows and bytes (``SAMPLE`` vectors or ``SAMPLE_BYTES``, those with the least hash). Every vector is stored in the inverted
 list of its nearest centroid, as the codes of its residual and the exact error of that code, and is looked up in
 its ``PROBES`` nearest lists. In a list, a table of distances from the query's residual to the
 codewords gives the distance to every stored code; by the triangle inequality a stored vector whose
 distance to the query, less its own code error, exceeds the threshold can't link, and all others
 are reranked by exact cosine in double precision. So the codes lose no link within probed lists.
 
+The number of lists grows with the table, one to ``PER_LIST`` vectors: where they are more than ``CENTRES``, a centroid is the sum of one entry from each of
+several codebooks, each fitted on what the ones before leave, and the nearest are found by a beam search.
+
 A list with more than ``CELL`` stored vectors is cut into blocks of stored and of querying vectors
 by hash; a task gets one pair of blocks, whatever a list holds. It returns per vector a
-number of links and one link of the block's own components: links are counted, never listed, so a
-group of k copies costs k rows. A pair is counted once although both ends may look each other up:
+number of links and one link of the block's own components: links are counted, never listed. A pair is counted once although both ends may look each other up:
 the query counts itself, and counts the stored vector only if that one doesn't probe the query's list.
 
 Cases: vectors that are null, zero, of another dimension than most, or hold null or non-finite
@@ -23,13 +25,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.operators.components import connected_components
 from veilgraph.plans.workspace import bounded_batches, freeing, hold, materialize
 
-COSINE, PROBES, SAMPLE, LISTS = 0.9, 4, 16384, 1024
+COSINE, PROBES, SAMPLE, SAMPLE_BYTES, CENTRES = 0.9, 4, 16384, 64 << 20, 1024
 SUBSPACES, CODEWORDS = 8, 256
 #: Vectors to a list that the number of lists aims at, and vectors in a block.
 PER_LIST, CELL = 64, 1024
@@ -63,14 +66,44 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray
 
 
 class Quantiser:
-    """Coarse centroids and residual codebooks."""
-
-    def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codewords: int = CODEWORDS):
-        self.centres = kmeans(sample, lists)
-        residual = sample - self.centres[_nearest(sample, self.centres)[:, 0]]
+    """Coarse codebooks, whose sums are the lists' centroids, and codebooks of the subspaces of what they leave."""
+
+    def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codewords: int = CODEWORDS, centres: int = CENTRES):
+        most = max(1, min(centres, len(sample) // 8))
+        levels = 1
+        while most > 1 and most**levels < lists:
+            levels += 1
+        size, self.coarse, residual = max(1, min(most, round(lists ** (1 / levels)))), [], sample
+        for level in range(levels):
+            self.coarse.append(kmeans(residual, size, seed=7 + level))
+            residual = residual - self.coarse[-1][_nearest(residual, self.coarse[-1])[:, 0]]
         self.cuts = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(residual[:, a:b], codewords) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
 
+    def lists(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The numbers of the n lists near each row, nearest first: a beam search over the codebooks."""
+        if len(x) > 1024:
+            return np.concatenate([self.lists(x[i : i + 1024], n) for i in range(0, len(x), 1024)])
+        number = _nearest(x, self.coarse[0], n).astype(np.int64)
+        left = x[:, None, :] - self.coarse[0][number]
+        for book in self.coarse[1:]:
+            rows, beam = number.shape
+            far = (left**2).sum(2)[:, :, None] + (book**2).sum(1) - 2 * (left @ book.T)
+            flat = far.reshape(rows, -1)
+            best = np.argsort(flat, axis=1, kind="stable")[:, : min(n, flat.shape[1])]
+            of, entry = np.divmod(best, len(book))
+            number = np.take_along_axis(number, of, 1) * len(book) + entry
+            left = np.take_along_axis(left, of[:, :, None], 1) - book[entry]
+        return number
+
+    def centre(self, number: int) -> np.ndarray:
+        """The centroid of a list."""
+        out = np.zeros(self.coarse[0].shape[1])
+        for book in reversed(self.coarse):
+            number, entry = divmod(number, len(book))
+            out = out + book[entry]
+        return out
+
     def encode(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and the distance from each to what its code stands for."""
         codes, error = [], np.zeros(len(residual))
@@ -108,11 +141,15 @@ def unit_rows(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _units(dimension: int):
+    """The usable vectors at length one, with 128 bits of hash."""
+
     def units(batches):
         for batch in batches:
             usable, x = unit_rows(batch.column(1), dimension)
+            digests = [xxhash.xxh3_128_intdigest(row.tobytes()) for row in x + 0.0]  # no negative zeros
+            high, low = (np.array([d >> shift & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64) for shift in (64, 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(usable)), pa.array(list(x), pa.list_(pa.float64()))], names=["key", "unit"]
+                [batch.column(0).filter(pa.array(usable)), pa.array(high), pa.array(low), pa.array(list(x), pa.list_(pa.float64()))], names=["key", "high", "low", "unit"]
             )
 
     return units
@@ -123,17 +160,32 @@ def _rows(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def _place(model: Quantiser, probes: int, dimension: int):
-    """Each vector's own list, and the lists that it probes, nearest first."""
+    """The lists that each vector probes, its own first."""
 
     def place(batches):
         for batch in batches:
-            x = _rows(batch.column(1), dimension)
-            near = _nearest(x, model.centres, probes).astype(np.int32) if len(x) else np.empty((0, 1), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(near), pa.list_(pa.int32()))], names=["key", "unit", "probed"])
+            near = model.lists(_rows(batch.column(1), dimension), probes) if batch.num_rows else np.empty((0, 1), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int64()))], names=["key", "unit", "weight", "probed"])
 
     return place
 
 
+def linked(x: np.ndarray, y: np.ndarray, near: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (row of x, row of y) among those marked in ``near`` whose cosine is high enough.
+
+    What lies so close to the threshold that the order of a sum could decide is summed in one order, so both ends and every block agree.
+    """
+    a, b = np.nonzero(near)
+    if len(a) < near.size // 8:
+        step = max(1, (1 << 22) // x.shape[1])
+        value = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + step]], y[b[i : i + step]]) for i in range(0, max(1, len(a)), step)])
+    else:
+        value = (x @ y.T)[a, b]
+    close = np.flatnonzero(np.abs(value - cosine) < 1e-9)
+    value[close] = [(x[i] * y[j]).sum() for i, j in zip(a[close].tolist(), b[close].tolist(), strict=True)]
+    return a[value >= cosine], b[value >= cosine]
+
+
 def _forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) for the components of a bipartite link matrix; root is the smallest key."""
     mine, other = left.copy(), right.copy()
@@ -154,29 +206,28 @@ def _links(model: Quantiser, dimension: int, cosine: float):
     def links(batch):
         row = batch.combine_chunks().to_batches()[0]
         asks, keys, own = np.asarray(row.column("asks").cast(pa.int8())) > 0, np.asarray(row.column("key")), row.column("list")[0].as_py()
+        weight = np.asarray(row.column("weight"))
         x, probed = _rows(row.column("unit"), dimension), np.asarray(row.column("probed").flatten()).reshape(row.num_rows, -1)
         q, s = np.flatnonzero(asks), np.flatnonzero(~asks)
         counts: dict[str, list] = {"key": [], "other": [], "links": []}
         if len(q) and len(s):
-            centre = model.centres[own]
+            centre = model.centre(own)
             codes, error = model.encode(x[s] - centre)
             mine, theirs = keys[q], keys[s]
             total_q, total_s = np.zeros(len(q), np.int64), np.zeros(len(s), np.int64)
-            linked = np.zeros((len(q), len(s)), bool)
+            pairs = np.zeros((len(q), len(s)), bool)
             for i in range(0, len(q), 256):
                 part = slice(i, i + 256)
                 near = model.distances(x[q[part]] - centre, codes) <= radius + error
                 near &= mine[part, None] != theirs
-                a, b = np.nonzero(near)
-                exact = np.einsum("ij,ij->i", x[q[part]][a], x[s][b]) if len(a) < near.size // 8 else (x[q[part]] @ x[s].T)[a, b]
-                a, b = a[exact >= cosine], b[exact >= cosine]
-                linked[part][a, b] = True
-                total_q[part] += np.bincount(a, minlength=len(total_q[part]))
+                a, b = linked(x[q[part]], x[s], near, cosine)
+                pairs[part][a, b] = True
+                np.add.at(total_q[part], a, weight[s][b])
                 # the stored vector counts the pair itself where it probes the query's own list
                 back = (probed[s][b] == probed[q[part]][a][:, :1]).any(1)
-                total_s += np.bincount(b[~back], minlength=len(s))
-            some_q, some_s = total_q > 0, linked.any(0)
-            node, root = _forest(linked[some_q][:, some_s], mine[some_q], theirs[some_s])
+                np.add.at(total_s, b[~back], weight[q[part]][a[~back]])
+            some_q, some_s = total_q > 0, pairs.any(0)
+            node, root = _forest(pairs[some_q][:, some_s], mine[some_q], theirs[some_s])
             for key, other, n in ((mine[total_q > 0], None, total_q[total_q > 0]), (theirs[total_s > 0], None, total_s[total_s > 0]), (node, root, None)):
                 counts["key"].append(key)
                 counts["other"].append(np.full(len(key), -1) if other is None else other)
@@ -187,7 +238,7 @@ def _links(model: Quantiser, dimension: int, cosine: float):
     return links
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int = PROBES, sample: int = SAMPLE, lists: int = LISTS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int = PROBES, sample: int = SAMPLE, per_list: int = PER_LIST, centres: int = CENTRES) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``."""
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -195,47 +246,45 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     base = materialize(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("key", F.monotonically_increasing_id()))
     found = base.where("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dimension = found[0]["d"] if found else 0
-    if not dimension:
-        return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    units = hold(base.select("key", "v").mapInArrow(freeing(_units(dimension)), "key long, unit array<double>"))
-    n = units.count()
-    chosen = units.orderBy(F.xxhash64("unit"), "key").limit(sample).select("unit").toArrow()
-    model = None
-    if chosen.num_rows:
-        model = Quantiser(_rows(chosen.column(0).combine_chunks(), dimension), max(1, min(lists, n // PER_LIST, chosen.num_rows // 8)))
-    if model is None:
+    marked = materialize(base.select("key", "v").mapInArrow(freeing(_units(dimension)), "key long, high long, low long, unit array<double>")) if dimension else None
+    # equal vectors are compared once
+    distinct = marked and materialize(marked.groupBy("high", "low").agg(F.min("key").alias("stands"), F.count("*").alias("weight")))
+    n = distinct.count() if distinct else 0
+    if not n:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    shared = spark.sparkContext.broadcast(model)  # at most LISTS centres and SUBSPACES codebooks
-    placed = hold(units.mapInArrow(freeing(_late(_place, shared, probes, dimension)), "key long, unit array<double>, probed array<int>"))
-    # rows stored in and asking each list, at most LISTS numbers: the blocks that they are cut into
-    held = {r["list"]: r["n"] for r in placed.groupBy(F.col("probed")[0].alias("list")).agg(F.count("*").alias("n")).collect()}
-    asked = {r["list"]: r["n"] for r in placed.select(F.explode("probed").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
-    salt, last = F.abs(F.xxhash64("key")), len(model.centres)
-
-    def blocks(rows: dict, size: int):
-        return F.get(F.lit([-(-rows.get(i, 0) // size) for i in range(last)]), F.col("list"))
-
+    rows = max(1024, min(sample, SAMPLE_BYTES // (8 * dimension)))
+    least = distinct.orderBy("high", "low").limit(rows).select(F.col("stands").alias("key"))
+    chosen = marked.join(least, "key").select("high", "unit").toArrow().sort_by("high")
+    model = Quantiser(_rows(chosen.column("unit").combine_chunks(), dimension), max(1, n // per_list), centres=centres)
+    shared = spark.sparkContext.broadcast(model)  # a few codebooks of at most CENTRES entries
+    units = marked.join(distinct.select(F.col("stands").alias("key"), "weight"), "key").select("key", "unit", "weight")
+    placed = materialize(units.mapInArrow(freeing(_late(_place, shared, probes, dimension)), "key long, unit array<double>, weight long, probed array<long>"))
+    # lists of many vectors, and the blocks that they are cut into; the others are one block
+    held = placed.groupBy(F.col("probed")[0].alias("list")).agg(F.count("*").alias("n"))
+    asked = placed.select(F.explode("probed").alias("list")).groupBy("list").agg(F.count("*").alias("n"))
+    blocks = held.select("list", F.ceil(F.col("n") / CELL).cast("int").alias("ns")).join(asked.select("list", F.ceil(F.col("n") / (CELL * probes)).cast("int").alias("nq")), "list").where("ns > 1 or nq > 1")
     listed = (
         placed.withColumn("list", F.col("probed")[0]).withColumn("asks", F.lit(False))
         .unionByName(placed.withColumn("list", F.explode("probed")).withColumn("asks", F.lit(True)))
-        .withColumn("ns", blocks(held, CELL)).withColumn("nq", blocks(asked, CELL * probes)).where("ns > 0")
+        .join(materialize(blocks), "list", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("ns", "nq")})
     )
+    salt = F.abs(F.xxhash64("key") % (1 << 40))
     own, other = salt % F.when(F.col("asks"), F.col("nq")).otherwise(F.col("ns")), F.sequence(F.lit(0), F.when(F.col("asks"), F.col("ns")).otherwise(F.col("nq")) - 1)
     cells = listed.withColumn("own", own.cast("int")).withColumn("other", F.explode(other)).select(
-        "list", F.expr("if(asks, own, other)").alias("q"), F.expr("if(asks, other, own)").alias("s"), "key", "unit", "probed", "asks"
+        "list", F.expr("if(asks, own, other)").alias("q"), F.expr("if(asks, other, own)").alias("s"), "key", "unit", "weight", "probed", "asks"
     )
-    linked = materialize(
+    met = materialize(
         cells.groupBy("list", "q", "s").applyInArrow(_late(_links, shared, dimension, cosine), "key long, other long, links long")
     )
-    degrees = linked.groupBy("key").agg(F.sum("links").alias("n_links"))
-    parts = connected_components(linked.where("other >= 0"), "key", "other")
-    groups = base.select("key", "vec_id").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    groups = hold(groups)
+    degrees = met.groupBy(F.col("key").alias("stands")).agg(F.sum("links").alias("links"))
+    parts = connected_components(met.where("other >= 0"), "key", "other")
+    kinds = distinct.join(degrees, "stands", "left").join(parts.withColumnRenamed("node", "stands"), "stands", "left")
+    kinds = materialize(kinds.select("high", "low", F.coalesce("component", "stands").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    members = marked.select("key", "high", "low").join(kinds, ["high", "low"]).select("key", "component", "n_links")
+    groups = hold(base.select("key", "vec_id").join(members, "key", "left").withColumn("component", F.coalesce("component", "key")))
     least = materialize(groups.groupBy("component").agg(F.min("vec_id").alias("component_id")))
-    return (
-        groups.join(least, "component")
-        .join(degrees, "key", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return groups.join(least, "component").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
