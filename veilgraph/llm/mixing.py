@@ -6,7 +6,7 @@ until none is above (one pass over the sources by the weight at which each fills
 
 Demand. A source's schedule gives its weight over training time, as straight lines between evenly spaced
 knots. Its integral, scaled to the source's target, is the demand up to a time. The source's documents
-stand one after the other by a hash of their id, and start over at the end; the word at the middle of a
+stand one after the other by a hash of their id and text, and start over at the end; the word at the middle of a
 document is demanded at the time that the inverse of the integral gives, which is the document's position. A document
 is taken as often as it ends within the target; the one document whose size best closes the remaining gap is
 taken once more, so a source misses its target by less than half of that document's size at most.
@@ -14,9 +14,9 @@ taken once more, so a source misses its target by less than half of that documen
 No source is sorted in one task: documents are dealt by (source, leading digits of their hash), and running sums of
 the cells' sizes place each cell. Only one row per source meets in one place.
 
-Cases: a null text has size 0; a null source is a source; rows with one id are separate documents; a document or source
+Cases: a null text has size 0; a null source is a source; rows with one id are separate documents, and rows that are alike in id and text are interchangeable; a document or source
 without words is taken as often as its neighbours, at no cost; an empty table gives an empty result; extra columns
-are kept by ``mix`` (names beginning with ``_mix`` are its own) and ignored by ``plan``.
+are kept by ``mix`` whatever their names, and ignored by ``plan``.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgraph.llm.rows import with_keys
+from veilgraph.functions.ordered import numbered, running_sums
+from veilgraph.llm.rows import plainly, with_keys
 from veilgraph.plans.workspace import hold, materialize
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Weight over training time at evenly spaced knots, for the sources of each weight in turn: heavy ones early, light ones late.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-#: Leading hexadecimal digits of a document's hash that name its cell.
-DIGITS = 3
+#: Leading hexadecimal digits of a document's hash that name its cell, at the least, and the documents of one source that a cell is to hold at the most.
+DIGITS, CELL_ROWS = 3, 1 << 18
 WORDS = "[^\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -66,21 +67,18 @@ def when_demanded(share: Column, kind: Column, schedules=SCHEDULES) -> Column:
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
-    """(source, source_size, kind, target) of (source, source_size): one row per source."""
-    ordered = totals.withColumn("kind", ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)).cast("int"))
-    weighed = ordered.withColumn("weight", F.get(F.lit([float(w) for w in weights]), F.col("kind"))).withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    filling = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    level = (
-        weighed.withColumn("place", F.row_number().over(filling))
-        .withColumn("filled", F.coalesce(F.sum("most").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("open", F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("all", F.sum("source_size").over(whole).cast("double"))
-        .withColumn("level", (F.col("all") - F.col("filled")) / F.col("open"))
-        .withColumn("full", F.col("most") <= F.col("weight") * F.col("level"))
-        .withColumn("final", F.min(F.when(~F.col("full"), F.struct("place", "level"))).over(whole)["level"])
-    )
-    return level.select("source", "source_size", "kind", F.when(F.col("full"), F.col("most")).otherwise(F.least("most", F.col("weight") * F.col("final"))).alias("target"))
+    """(source, source_size, kind, target) of (source, source_size): one row per source, in ranges, as sources may be many."""
+    ordered = numbered(totals.select("source", "source_size"), [F.col("source").asc_nulls_last()], name="place")
+    weighed = ordered.withColumn("kind", (F.col("place") % len(weights)).cast("int")).drop("place")
+    weighed = weighed.withColumn("weight", F.get(F.lit([float(w) for w in weights]), F.col("kind"))).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    weighed = hold(weighed.withColumn("fills", F.col("most") / F.col("weight")))  # the share of a unit of weight at which it is full
+    whole = weighed.agg(F.sum("source_size").cast("double").alias("all"), F.sum("weight").alias("weight")).first()
+    steps = running_sums(weighed.groupBy("fills").agg(F.sum("most").alias("most"), F.sum("weight").alias("weight")), "fills", ["most", "weight"])
+    level = (F.lit(whole["all"] or 0.0) - (F.col("cum_most") - F.col("most"))) / (F.lit(whole["weight"] or 0.0) - F.col("cum_weight") + F.col("weight"))
+    # the first that the level doesn't fill, and the level there: all before it are full
+    last = steps.withColumn("level", level).where("fills > level").agg(F.min(F.struct("fills", "level")).alias("least")).first()["least"]
+    target = F.col("most") if last is None else F.when(F.col("fills") < last["fills"], F.col("most")).otherwise(F.least("most", F.col("weight") * F.lit(last["level"])))
+    return weighed.select("source", "source_size", "kind", target.alias("target"))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, schedules=SCHEDULES) -> DataFrame:
@@ -88,12 +86,18 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     if len(schedules) != len(weights) or min(weights) <= 0:
         raise ValueError("weights are positive, with a schedule each")
     source = F.col(source_col).cast("string")
+    text = F.md5(F.col(text_col).cast("binary"))
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
+        F.md5(F.concat_ws(" ", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.coalesce(text, F.lit("")))).alias("hash"),
         F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source)).alias("key"),  # joins need it not null
         F.expr(f"coalesce(regexp_count(`{text_col}`, '{WORDS}'), 0)").cast("long").alias("size"),
     )
-    base = materialize(base.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("cell", F.substring("hash", 1, DIGITS)))
+    base = materialize(base)
+    digits = DIGITS  # more for larger tables, so that a cell stays about as large
+    while base.count() >> 4 * digits > CELL_ROWS:
+        digits += 1
+    base = base.withColumn("cell", F.substring("hash", 1, digits))
     cells = hold(base.groupBy("key", "cell").agg(F.sum("size").alias("words")))
     totals = cells.groupBy("key").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("key") != "", F.expr("substring(key, 2)")))
     goals = targets(totals, weights, cap)
@@ -135,15 +139,17 @@ def in_order(planned: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, schedules=SCHEDULES) -> DataFrame:
     """``docs`` as the training order has them: one row per copy, range-sorted by position. Where ids are null or repeat, rows are planned by their number (``with_keys``) instead."""
-    keyed = with_keys(docs, id_col, [text_col, source_col], "_mix_key")
-    order = plan(keyed, "_mix_key", text_col, source_col, weights, cap, schedules).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.explode("positions").alias("_mix_at"))
-    joined = keyed.join(order, F.col("_mix_key") == F.col("_mix_id"))
-    return joined.repartitionByRange("_mix_at", "_mix_id").sortWithinPartitions("_mix_at", "_mix_id").select(*docs.columns)
+    plain, names = plainly(docs)
+    text, source = names[text_col], names[source_col]
+    keyed = with_keys(plain, names[id_col], [text, source], "key")
+    order = plan(keyed, "key", text, source, weights, cap, schedules).where("copies > 0").select(F.col("doc_id").alias("key"), F.explode("positions").alias("at"))
+    joined = keyed.join(order, "key")
+    return joined.repartitionByRange("at", "key").sortWithinPartitions("at", "key").select(*plain.columns).toDF(*docs.columns)
 
 
 SQL = """
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(concat(coalesce(doc_id::VARCHAR, ''), ' ', coalesce(md5(text), ''))) AS h
   FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source

@@ -29,3 +29,9 @@ def with_keys(docs: DataFrame, id_col: str, by: list[str], name: str) -> DataFra
     if docs.select(own.alias("own")).groupBy("own").count().where("count > 1 or own is null").limit(1).count() == 0:
         return docs.withColumn(name, own)
     return materialize(numbered(docs, [own.asc_nulls_last(), F.xxhash64(*(docs[c] for c in by))], name=name))
+
+
+def plainly(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns called c0, c1 and so on, so that no name clashes with an operator's own, and the new name of each."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
