@@ -110,6 +110,57 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def _jaccard(a, b, n=5):
+    shingles = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or {tuple(w)} for w in (a.lower().split(), b.lower().split())]
+    return len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
+
+
+def _near_table(rng):
+    """Texts, near copies of some with a word in so many changed, and rows with awkward ids."""
+    base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(60, 300))) for _ in range(60)]
+    table = [(i, t) for i, t in enumerate(base)]
+    for i in range(30):
+        for share in (0.004, 0.012, 0.02):
+            words = base[i].split()
+            for k in rng.sample(range(len(words)), max(1, int(share * len(words)))):
+                words[k] = "changed" + str(rng.random())
+            table.append((1000 + len(table), " ".join(words)))
+    table += [(None, base[40]), (None, base[41] + " more"), (7, base[7]), (50, "another text under a known id"), (2000, None), (2001, ""), (2002, " \n"), (2003, "one word"), (2004, "ONE word")]
+    return table
+
+
+def test_near_copies_of_five_words_and_a_similarity(spark):
+    table = _near_table(random.Random(6))
+    docs = spark.createDataFrame([(i, t, "x", "y", k) for k, (i, t) in enumerate(table)], "doc_id long, text string, key string, c0 string, component_id long").repartition(3)
+    kept = simhash.keep_one(docs)
+    assert kept.dtypes == docs.dtypes
+    stay = {r.component_id for r in kept.collect()}
+    rows = [(k, i, t or "") for k, (i, t) in enumerate(table)]
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0))
+    found = missed = 0
+    for at, (k, _, text) in enumerate(order):
+        best = max((_jaccard(text, other[2]) for other in order[:at] if abs(len(text) - len(other[2])) < 60 + len(text) // 3), default=0)
+        if best >= 0.8:
+            found += k not in stay
+            missed += k in stay
+        elif best < 0.5:
+            assert k in stay
+    assert missed <= 0.05 * found and found > 60
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_near_copies_of_one_group_are_linear(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    table = []
+    for i in range(400):
+        own = list(words)
+        own[rng.randrange(300)] = f"w{i}"
+        table.append((i, " ".join(own)))
+    got = simhash.near_copies(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 400
+
+
 def test_simhash_links_are_those_within_the_radius(spark):
     rng = random.Random(3)
     prints = {0, (1 << 64) - 1}
@@ -280,11 +331,43 @@ def test_embeddings_recall_with_few_probes_and_small_blocks(spark, monkeypatch):
     assert (found <= links).all() and found.sum() >= 0.95 * links.sum() > 0
 
 
+def test_embeddings_with_many_copies_and_several_codebooks(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(150, 24))
+    x = centres[rng.integers(0, 150, 2500)] + rng.normal(size=(2500, 24)) * 0.12
+    x = np.concatenate([x, np.repeat(x[:3], [2000, 300, 1], axis=0)])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table, per_list=16, centres=8).collect()}
+    found = np.array([got[i][0] for i in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.95 * links.sum() and found[2500] >= 2000
+    assert {got[i][1] for i in (0, *range(2500, 4500))} == {got[0][1]} and got[0][1] <= 0
+    model = embeddings.Quantiser(unit, 150, centres=8)
+    assert [len(b) for b in model.coarse] == [5, 5, 5, 5][: len(model.coarse)] and len(model.coarse) > 1
+    near = model.lists(unit[:200], 6)
+    far = np.array([[np.linalg.norm(u - model.centre(int(c))) for c in row] for u, row in zip(unit, near, strict=False)])
+    assert (np.diff(far, axis=1) >= -1e-9).all()
+
+
+def test_cosine_at_the_threshold_is_the_same_from_both_ends():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 33))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i, j in ((0, 1), (5, 9), (20, 30)):
+        at = float((x[i] * x[j]).sum())
+        full, few = np.ones((40, 40), bool), np.zeros((40, 40), bool)
+        few[i, j] = few[j, i] = True
+        for near in (full, few):
+            a, b = embeddings.linked(x, x, near, at)
+            assert {(i, j), (j, i)} <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_codes_reject_no_vector_within_the_radius():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16))
     model = embeddings.Quantiser(x, 4, subspaces=4, codewords=16)
-    residual = x - model.centres[0]
+    residual = x - model.centre(0)
     codes, error = model.encode(residual)
     approx, exact = model.distances(residual[:50], codes), np.linalg.norm(x[:50, None] - x[None], axis=2)
     assert (np.abs(approx - exact) <= error + 1e-9).all()
@@ -710,6 +793,53 @@ def test_quality(docs, rows, empty, spark):
     assert {r.score for r in quality.classify(table, one_class).collect()} == {1.0}
 
 
+def _plain_statistics(text):
+    """The fifteen statistics, by Python's own counting."""
+    raw = text.encode()
+    words = [w.encode() for w in WORD.findall(text)]
+    n, size = len(words), max(1, len(raw))
+    lengths = [len(w) for w in words] or [0]
+    mean = sum(lengths) / len(lengths)
+    windows = Counter(tuple(words[i : i + 3]) for i in range(n - 2))
+    inside = {k for i in range(n - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(i, i + 3)}
+    fives = Counter(tuple(words[i : i + 5]) for i in range(n - 4))
+    covered = {k for i in range(n - 4) if fives[tuple(words[i : i + 5])] > 1 for k in range(i, i + 5)}
+    chars = [len(w.decode()) for w in words]
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    again, seen = 0, set()
+    for x in lines:
+        again += len(x) * (x in seen)
+        seen.add(x)
+    share = [c / size for c in Counter(raw).values()]
+    count = lambda which: sum(b in which for b in raw) / size
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths))), math.log1p(len(set(words))) / math.log1p(max(1, n)),
+        *(math.sqrt(count(s)) for s in (b"#*$%&|<>", bytes(range(65, 91)), b"0123456789", b".,;:'\"()-", bytes(range(128, 256)), b"!")), math.log1p(100 * count(b"\n")),
+        math.sqrt(len(inside) / max(1, n)), math.sqrt(sum(chars[k] for k in covered) / sum(chars)) if n else 0, math.sqrt(again / sum(map(len, lines))) if again else 0,
+        -sum(x * math.log(x) for x in share) if n else 0,
+    ]
+
+
+def test_statistics_fit_and_score_by_hand(docs, rows, spark):
+    texts = [r[1] or "" for r in rows]
+    assert np.allclose([quality.statistics(t.encode()) for t in texts], [_plain_statistics(t) for t in texts])
+    # the query's rows: the model of the labelled rows that aren't held out, one for each id, and its score of every text
+    labels = [(r[0], k % 2) for k, r in enumerate(rows) if r[0] is not None]
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    known = {}
+    for i, q in labels:
+        known.setdefault(i, set()).add(q)
+    usable = [i for i, q in known.items() if len(q) == 1 and zlib.crc32(str(i).encode()) % 3 != 1]
+    x = [min(quality.statistics((r[1] or "").encode()).tolist() for r in rows if r[0] == i) for i in usable]
+    y = [min(known[i]) for i in usable]
+    order = np.lexsort((*np.array(x).T, y))
+    again = quality.Model(np.array(x)[order], np.array(y)[order])
+    assert model.fitted is not None and (model.lam, model.gamma) == (again.lam, again.gamma)
+    want = 1 / (1 + np.exp(-(again.line[0] * again.fitted.raw(np.array([_plain_statistics(t) for t in texts])) + again.line[1])))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in quality.classify(docs, model).collect())
+    assert np.allclose([g[2] for g in got], [w[2] for w in sorted((r[0] is None, r[0] or 0, s) for r, s in zip(rows, want, strict=True))], atol=1e-6)
+
+
 def test_discriminant_is_the_difference_of_log_densities():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(80, 3)), rng.normal(1, 2, size=(60, 3))])

@@ -12,6 +12,14 @@ For an even radius all members of a variant's group are within the radius of one
 chain through the sorted group (each member with the one before it) has the same components as all
 pairs, and a verified chain loses no component.
 
+``near_copies`` is for word shingles of any length and a similarity. 64 bits and a radius of 2 find copies that are almost equal only, so
+it emits the balls of several blocks of ``BLOCK`` bits, of a long fingerprint of two-word shingles: near copies agree in some block to within
+the radius though they differ in many bits of the whole. What meets is verified by another long fingerprint, of the shingles asked for: the
+share of its bits that differ is the angle between two texts' shingles, and a Jaccard similarity of s for sets of one size is a
+cosine of 2s / (1 + s). Two standard deviations of that share are allowed on top, so that hardly a pair of that similarity is lost to chance; some a little below it link, too. Of the texts with one value of a block, the one with the smallest id stands for all in the ball's variants, so a variant's
+group is bounded here too; each is verified with the one that stands for it, and those that meet in a variant with the one before and the
+first. So work is linear in the rows whatever the size of a group; the components are of the verified links.
+
 Cases: a null text is empty; a text without words has fingerprint zero and links like any other;
 fewer words than a shingle give one shingle of the whole sequence; repeated rows each
 get a result; a null doc_id is never the smallest of its component unless all are null; an
@@ -20,19 +28,25 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.llm.rows import with_keys
+from veilgraph.llm.rows import plainly, with_keys
 from veilgraph.operators.components import connected_components
-from veilgraph.plans.workspace import bounded_batches, freeing, hold, materialize
+from veilgraph.plans.workspace import bounded_batches, freeing, hold, materialize, release
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: For near copies: shingle and similarity, bits of a block, blocks, and longs of the fingerprint that verifies.
+NEAR, SIMILARITY, BLOCK, BLOCKS, LONG = 5, 0.8, 32, 8, 8
+#: Words of the shingles behind the blocks: one changed word changes as many shingles, and fewer changed shingles are fewer differing bits.
+WIDE = 2
 #: Shingles whose bits are unpacked at once.
 _BLOCK = 1 << 15
 
@@ -62,15 +76,61 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_ODD = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def long_fingerprint(words: np.ndarray, shingle: int, longs: int = LONG) -> np.ndarray:
+    """The majority bits of ``longs`` hashes of each shingle of a text's words, given by their 64-bit hashes; zero bits without words."""
+    if not len(words):
+        return np.zeros(64 * longs, bool)
+    shingle = min(shingle, len(words))
+    n = len(words) - shingle + 1
+    ones = np.zeros((longs, 64), np.int64)
+    for i in range(0, n, _BLOCK):
+        part = words[i : i + _BLOCK + shingle - 1]
+        size = len(part) - shingle + 1
+        hashes = sum(part[k : k + size] * _ODD[k % 128] for k in range(shingle))
+        for k in range(longs):
+            bits = _mixed(hashes + _ODD[128 + k]).view(np.uint8).reshape(-1, 8)
+            ones[k] += np.unpackbits(bits, axis=1).sum(0, dtype=np.int64)
+    return ones.ravel() * 2 > n
+
+
+def _numbers(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bits as signed longs of so many bits each."""
+    return (bits.reshape(len(bits), -1, width).astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def _long_fingerprints(shingle: int, blocks: int, width: int):
+    def fingerprints(batches):
+        for batch in batches:
+            wide, exact = np.zeros((batch.num_rows, blocks * width), bool), np.zeros((batch.num_rows, 64 * LONG), bool)
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = (text or b"").lower().split()
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                wide[i] = long_fingerprint(hashes, WIDE, -(-blocks * width // 64))[: blocks * width]
+                exact[i] = long_fingerprint(hashes, shingle)
+            columns = (pa.array(list(_numbers(x, w)), pa.list_(pa.int64())) for x, w in ((wide, width), (exact, 64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "wide", "exact"])
+
+    return fingerprints
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long, one row per row of ``docs``."""
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(freeing(_fingerprints), "doc_id long, fp long")
 
 
-def ball(radius: int) -> list[int]:
-    """All 64-bit masks of at most ``radius`` bits, as signed longs."""
-    masks = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(64), n)]
+def ball(radius: int, width: int = 64) -> list[int]:
+    """All masks of ``width`` bits of which at most ``radius`` are set, as signed longs."""
+    masks = [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
@@ -98,9 +158,109 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _block(column: str, block: int, bits: int) -> Column:
+    """One block of a long fingerprint, as a long."""
+    return F.conv(F.substring(F.hex(column), block * bits // 4 + 1, bits // 4), 16, 10).cast("long")
+
+
+def _differing(a: str, b: str, longs: int) -> Column:
+    """The number of bits that differ between two long fingerprints."""
+    return sum(F.bit_count(_signed(a, i).bitwiseXOR(_signed(b, i))) for i in range(longs))
+
+
+def _signed(column: str, i: int) -> Column:
+    """The i-th 64 bits of a long fingerprint, in two halves, as a signed long."""
+    half = lambda k: F.conv(F.substring(F.hex(column), k * 8 + 1, 8), 16, 10).cast("long")
+    return F.shiftleft(half(2 * i), 32).bitwiseOR(half(2 * i + 1))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY, blocks: int = BLOCKS, bits: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, component_id), one row per row of ``docs``, whose ids are unique and not null; component_id is the smallest doc_id reachable by links between near copies."""
+    if radius % 2 or bits % 4 or bits > 60:
+        raise ValueError("blocks of up to 60 bits, by fours, and an even radius")
+    bounded_batches(docs.sparkSession)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = int(64 * LONG * share + 2 * math.sqrt(64 * LONG * share * (1 - share)))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    marked = materialize(texts.mapInArrow(freeing(_long_fingerprints(shingle, blocks, bits)), "id long, wide binary, exact binary"))
+    # copies are one row before any variant is made
+    distinct = materialize(marked.groupBy("wide", "exact").agg(F.min("id").alias("fp")))
+    masks = F.array(*[F.lit(m) for m in ball(radius // 2, bits)])
+    met = None
+    for block in range(blocks):
+        variants = distinct.select("fp", _block("wide", block, bits).alias("own")).select("fp", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("variant"))
+        beside = variants.selectExpr("fp", "lag(fp) over (partition by variant order by fp) as before", "min(fp) over (partition by variant order by fp) as first").where("before is not null")
+        pairs = beside.select(F.explode(F.array_distinct(F.array("before", "first"))).alias("src"), F.col("fp").alias("dst")).distinct()
+        pairs = materialize(pairs)
+        release(docs.sparkSession)
+        met = pairs if met is None else met.unionByName(pairs)
+    prints = distinct.select("fp", "exact")
+    met = met.distinct().join(prints.withColumnsRenamed({"fp": "src", "exact": "a"}), "src").join(prints.withColumnsRenamed({"fp": "dst", "exact": "b"}), "dst")
+    parts = connected_components(met.where(_differing("a", "b", LONG) <= most).select("src", "dst"))
+    classes = materialize(distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("wide", "exact", F.coalesce("component", "fp").alias("component_id")))
+    return marked.join(classes, ["wide", "exact"]).select(F.col("id").alias("doc_id"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of near copies, exactly one each, unchanged: the one with the smallest id, and of several with that id the one whose text's hash is least; null ids come last."""
+    key = _free("key", docs)
+    keyed = with_keys(docs, id_col, [text_col], key)
+    groups = near_copies(keyed, key, text_col, shingle, similarity)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return keyed.join(first, key, "left_semi").select(*docs.columns)
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY, blocks: int = BLOCKS, width: int = BLOCK, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, component_id), one row per row of ``docs``, whose ids are unique and not null; component_id is the smallest doc_id reachable by links between near copies."""
+    if radius % 2 or not 0 < width < 64:
+        raise ValueError("blocks of up to 63 bits, and an even radius")
+    bounded_batches(docs.sparkSession)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = int(64 * LONG * share + 2 * math.sqrt(64 * LONG * share * (1 - share)))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    marked = materialize(texts.mapInArrow(freeing(_long_fingerprints(shingle, blocks, width)), "id long, wide array<long>, exact array<long>"))
+    # copies are one row before any variant is made
+    distinct = materialize(marked.groupBy("wide", "exact").agg(F.min("id").alias("fp")))
+    masks = F.array(*[F.lit(m) for m in ball(radius // 2, width)])
+    met = []
+    for block in range(blocks):  # one after the other, so that their shuffles don't add up on disk
+        own = distinct.select("fp", F.col("wide")[block].alias("own"))
+        least = materialize(own.groupBy("own").agg(F.min("fp").alias("least")))
+        alike = own.join(least, "own").where("fp > least").select(F.col("least").alias("src"), F.col("fp").alias("dst"))
+        variants = least.select("least", "own", F.explode(masks).alias("mask")).select("least", F.col("own").bitwiseXOR(F.col("mask")).alias("variant"))
+        beside = variants.selectExpr("least", "lag(least) over (partition by variant order by least) as before", "min(least) over (partition by variant order by least) as first").where("before is not null")
+        near = beside.select(F.explode(F.array_distinct(F.array("before", "first"))).alias("src"), F.col("least").alias("dst")).distinct()
+        met.append(materialize(alike.unionByName(near)))
+        release(docs.sparkSession)
+    prints = distinct.select("fp", "exact")
+    pairs = reduce(DataFrame.unionByName, met).distinct()
+    pairs = pairs.join(prints.withColumnsRenamed({"fp": "src", "exact": "a"}), "src").join(prints.withColumnsRenamed({"fp": "dst", "exact": "b"}), "dst")
+    differing = sum(F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i])) for i in range(LONG))
+    parts = connected_components(pairs.where(differing <= most).select("src", "dst"))
+    classes = materialize(distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("wide", "exact", F.coalesce("component", "fp").alias("component_id")))
+    return marked.join(classes, ["wide", "exact"]).select(F.col("id").alias("doc_id"), "component_id")
+
+
+def _kept(docs: DataFrame, id_col: str, text_col: str, grouped) -> DataFrame:
+    plain, names = plainly(docs)
+    keyed = with_keys(plain, names[id_col], [names[text_col]], "key")
+    first = grouped(keyed, "key", names[text_col]).where("doc_id = component_id").select(F.col("doc_id").alias("key"))
+    return keyed.join(first, "key", "left_semi").select(*plain.columns).toDF(*docs.columns)
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, exactly one each: the one with its smallest id, and of several with that id the one whose text's hash is least."""
-    keyed = with_keys(docs, id_col, [text_col], "_first_key")
-    groups = near_duplicates(keyed, "_first_key", text_col, radius)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first"))
-    return keyed.join(first, F.col("_first_key") == F.col("_first"), "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stand for their component of fingerprints within ``radius``, exactly one each: the one with its smallest id, null ids last, and of several with that id the one whose text's hash is least."""
+    return _kept(docs, id_col, text_col, lambda *of: near_duplicates(*of, radius))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of near copies, exactly one each, unchanged: chosen as by ``keep_first``."""
+    return _kept(docs, id_col, text_col, lambda *of: near_copies(*of, shingle, similarity))
