@@ -112,7 +112,7 @@ def test_distances(spark, monkeypatch, size):
 
 def test_large_forms_equal_small_forms(spark, monkeypatch):
     g = graph(spark, random_edges(40, 0.06, 5), 40).written()
-    calls = [(centrality.pagerank, {}), (centrality.closeness, {}), (centrality.katz, {"max_iter": 4, "tol": 0}), (centrality.eigenvector, {"max_iter": 4, "tol": 0})]
+    calls = [(centrality.pagerank, {}), (centrality.closeness, {}), (centrality.katz, {"max_iter": 4, "tol": 0}), (centrality.eigenvector, {"max_iter": 4, "tol": 0}), (centrality.katz_vector, {"alpha": 0.05, "tol": 1e-2})]
     small = [dict(f(g, **options).collect()) for f, options in calls]
     parts = dict(structure.components(g).collect())
     monkeypatch.setattr(centrality, "KERNEL_EDGES", 0)
@@ -279,7 +279,7 @@ def test_k_degree(spark):
     for deletions in (True, False):
         out = anonymize.KDegreeAnonymizer(10, with_deletions=deletions).anonymize(g, 5).validate()
         assert structure.k_degree_fraction(out, 10).first()[0] == 1
-    sequence = anonymize.anonymise_degree_sequence(g, 5, chunk=40).toPandas()
+    sequence = anonymize.anonymise_degree_sequence(g, 5).toPandas()
     assert sequence.target.value_counts().min() >= 5 and len(sequence) == 150
 
 
@@ -301,6 +301,44 @@ def test_k_degree_costs_are_the_least():
                 assert np.abs(got - d).sum() == best
 
 
+def test_k_degree_published_recurrence():
+    """Against the plain recursion: a start's first admissible group is costed in full, later members add their distance from the new median."""
+    rng = np.random.default_rng(3)
+    median = kdegree._median
+
+    def costs(d, k, deletions, exact):
+        out = {}
+        for i in range(len(d)):
+            for j in range(i + k - 1, min(i + 2 * k, len(d))):
+                part = d[i : j + 1]
+                if not deletions:
+                    out[i, j] = sum(part[0] - part)
+                elif exact or j == i + k - 1:
+                    out[i, j] = sum(abs(median(part) - part))
+                else:
+                    out[i, j] = out[i, j - 1] + median(part) - d[j]
+        return out
+
+    def solve(d, k, deletions, table):
+        if len(d) >= 2 * k:
+            best = (math.inf, None)
+            for t in range(max(k, len(d) + 1 - 2 * k), len(d) - k + 1):
+                cost, head = solve(d[:t], k, deletions, table)
+                cost += table.get((t, len(d) - 1), math.inf)
+                if cost < best[0]:
+                    best = (cost, head + [median(d[t:]) if deletions else d[t]] * (len(d) - t))
+            if best[0] < table.get((0, len(d) - 1), math.inf):
+                return best
+        return table.get((0, len(d) - 1), math.inf), [median(d) if deletions else d[0]] * len(d)
+
+    for _ in range(150):
+        k = int(rng.integers(2, 5))
+        d = np.sort(rng.integers(0, rng.choice([4, 12, 40]), int(rng.integers(k, 6 * k))))[::-1]
+        for deletions, exact in itertools.product((True, False), repeat=2):
+            assert kdegree.anonymise_degrees(d, k, deletions, exact).tolist() == solve(d, k, deletions, costs(d, k, deletions, exact))[1]
+    assert kdegree.group_costs(np.array([5, 3]), np.array([0, 5, 8]), np.zeros(1, int), 2, 1, True, False).tolist() == [[2.0]]
+
+
 def test_erdos_gallai(spark):
     for n in (1, 2, 3, 4, 5):
         pairs = list(itertools.combinations(range(n), 2))

@@ -130,34 +130,28 @@ class KDegreeAnonymizer(AbstractAnonymizer):
         return graph.with_edges(graph.nodes.sparkSession.createDataFrame(frame, "src long, dst long"))
 
 
-def anonymise_degree_sequence(graph: Graph, k: int, deletions: bool = True, exact: bool = False, chunk: int = 100_000) -> DataFrame:
-    """(id, deg, target): degrees with k equals each at least, by dynamic programming over chunks of the descending sequence.
-
-    One chunk holds the whole sequence of a graph of up to ``chunk`` nodes; a larger one is cut at every ``chunk`` nodes, the rest going to the last.
-    """
-    n = graph.count_nodes()
+def anonymise_degree_sequence(graph: Graph, k: int, deletions: bool = True, exact: bool = False) -> DataFrame:
+    """(id, deg, target): degrees with k equals each at least, by dynamic programming over the whole descending sequence, in one task whose memory is a few numbers a node."""
     placed = numbered(graph.degrees(), [F.col("deg").desc(), F.col("id").desc()], name="place")
-    last = max(0, n // chunk - 1) if n >= chunk else 0
-    part = F.least(F.floor(F.col("place") / chunk), F.lit(last))
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("place")
         return pd.DataFrame({"id": frame["id"], "deg": frame["deg"], "target": kdegree.anonymise_degrees(frame["deg"].to_numpy(), k, deletions, exact)})
 
-    return placed.withColumn("part", part).groupBy("part").applyInPandas(solve, "id long, deg long, target long")
+    return placed.withColumn("part", F.col("place") * 0).groupBy("part").applyInPandas(solve, "id long, deg long, target long")
 
 
 class NestModelAnonymizer(AbstractAnonymizer):
-    """Rewiring inside Weisfeiler-Lehman colours, so that colours to ``depth`` rounds stay."""
+    """Rewiring inside Weisfeiler-Lehman colours, so that colours to ``depth`` rounds stay; ``parallel`` swaps in rounds over all executors."""
 
     def __init__(self, depth: int, r=1, parallel: bool = False):
         if depth <= 0:
             raise ValueError("depth must be positive")
-        self.depth, self.r = depth, r  # blocks always run in parallel
+        self.depth, self.r, self.parallel = depth, r, parallel
 
     def anonymize(self, graph: Graph, random_seed: int | None = None, initial_colors: DataFrame | None = None) -> Graph:
         labels = colour_rounds(graph, self.depth, initial_colors)[-1]
-        return rewire(graph, hold(named(labels)), self.r, _seed(random_seed))
+        return rewire(graph, hold(named(labels)), self.r, _seed(random_seed), parallel=self.parallel)
 
 
 def validate_nest(graph: Graph, other: Graph, depth: int, initial_colors: DataFrame | None = None) -> bool:
@@ -181,7 +175,7 @@ class VariantNestModelAnonymizer(AbstractAnonymizer):
             raise ValueError("k must be positive")
         if mode not in (1, 2):
             raise ValueError("mode is 1 (medians) or 2 (means)")
-        self.k, self.min_cluster_size, self.mode, self.r = k, min_cluster_size, mode, r
+        self.k, self.min_cluster_size, self.mode, self.r, self.parallel = k, min_cluster_size, mode, r, parallel
 
     def colours(self, graph: Graph) -> DataFrame:
         g = _arrays(graph, "clustering on the line")
@@ -189,7 +183,7 @@ class VariantNestModelAnonymizer(AbstractAnonymizer):
         return _colors(graph, g, line_cluster(values, self.k, self.mode == 1, self.min_cluster_size))
 
     def anonymize(self, graph: Graph, random_seed: int | None = None) -> Graph:
-        return rewire(graph, self.colours(graph), self.r, _seed(random_seed))
+        return rewire(graph, self.colours(graph), self.r, _seed(random_seed), parallel=self.parallel)
 
 
 class PygmalionModelAnonymizer(AbstractAnonymizer):

@@ -2,7 +2,7 @@
 
 The iterations are matrix-vector products: neighbours' values joined to edges and summed by node. Up to
 ``KERNEL_EDGES`` edges, counted first, one task runs them in numpy on the edge arrays; beyond, each iteration is a
-join and a grouped sum over written tables. Both forms take the same steps.
+join and a grouped sum over written tables. Both forms take the same steps and stop alike; ``by_joins`` asks for the second at any size.
 """
 
 from __future__ import annotations
@@ -80,31 +80,31 @@ def _frame(graph: Graph, arrays: Arrays, values: np.ndarray) -> DataFrame:
     return graph.nodes.sparkSession.createDataFrame(pd.DataFrame({"id": arrays.ids, "val": values.astype(float)}), VALUES)
 
 
-def iterate(graph: Graph, initial: float, update: Callable, kernel: Callable, max_iter: int, tolerance: float) -> DataFrame:
-    """Values from repeated steps until they change by less than ``tolerance`` per node in sum.
+def iterate(graph: Graph, initial: float, update: Callable, kernel: Callable, max_iter: int, tolerance: float, by_joins: bool = False, squares: bool = False, before: bool = False) -> DataFrame:
+    """Values from repeated steps until they change by less than ``tolerance`` in sum, or with ``squares`` in length; ``before`` gives the values before the last step.
 
-    ``kernel(x, product, arrays)`` gives the next array. ``update(table, totals)`` gives the next value as a column over
-    (id, val, deg, got), got being the neighbours' sum; totals is a dict of sums over all nodes.
+    ``kernel(x, arrays)`` gives the next array. ``update(table, edges, n)`` gives the next table (id, deg, val).
     """
     n = graph.count_nodes()
-    arrays = small(graph)
+    arrays = None if by_joins else small(graph)
     if arrays is not None:
         x = np.full(n, initial)
         for _ in range(max_iter):
             last, x = x, kernel(x, arrays)
-            if np.abs(x - last).sum() < tolerance * n:
+            if (np.sqrt(((x - last) ** 2).sum()) if squares else np.abs(x - last).sum()) < tolerance:
+                x = last if before else x
                 break
         return _frame(graph, arrays, x)
     edges = hold(graph.both_ways())
     table = materialize(graph.degrees().withColumn("val", F.lit(float(initial))))
     for _ in range(max_iter):
-        after, change = update(table, edges, n)
-        after = materialize(after)
-        moved = change(after, table)
+        after = materialize(update(table, edges, n))
+        if _moved(after, table, squares) < tolerance:
+            table = table if before else after
+            break
         discard(table)
         table = after
-        if moved < tolerance * n:
-            break
+    edges.unpersist()
     return table.select("id", "val")
 
 
@@ -115,11 +115,13 @@ def _gathered(table: DataFrame, edges: DataFrame, weight=None) -> DataFrame:
     return table.join(got, "id", "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
 
 
-def _moved(after: DataFrame, before: DataFrame) -> float:
-    return after.join(before.select("id", F.col("val").alias("old")), "id").agg(F.sum(F.abs(F.col("val") - F.col("old")))).first()[0] or 0.0
+def _moved(after: DataFrame, before: DataFrame, squares: bool) -> float:
+    gap = F.col("val") - F.col("old")
+    change = F.sqrt(F.sum(gap * gap)) if squares else F.sum(F.abs(gap))
+    return after.join(before.select("id", F.col("val").alias("old")), "id").agg(change).first()[0] or 0.0
 
 
-def pagerank(graph: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
+def pagerank(graph: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, by_joins: bool = False) -> DataFrame:
     """(id, val): PageRank with uniform start and the mass of isolated nodes spread over all."""
     n = max(1, graph.count_nodes())
 
@@ -130,9 +132,9 @@ def pagerank(graph: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float
     def update(table, edges, n):
         free = table.agg(F.sum(F.when(F.col("deg") == 0, F.col("val")))).first()[0] or 0.0
         gathered = _gathered(table, edges, F.col("val") / F.nullif("deg", F.lit(0)))
-        return gathered.select("id", "deg", (alpha * (F.col("got") + free / n) + (1 - alpha) / n).alias("val")), _moved
+        return gathered.select("id", "deg", (alpha * (F.col("got") + free / n) + (1 - alpha) / n).alias("val"))
 
-    return iterate(graph, 1.0 / n, update, kernel, max_iter, tol)
+    return iterate(graph, 1.0 / n, update, kernel, max_iter, tol * n, by_joins)
 
 
 def _normalised(table: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def _normalised(table: DataFrame) -> DataFrame:
     return table.join(F.broadcast(total)).withColumn("val", F.coalesce(F.col("val") / F.nullif("_norm", F.lit(0.0)), F.lit(0.0))).drop("_norm")
 
 
-def eigenvector(graph: Graph, max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
+def eigenvector(graph: Graph, max_iter: int = 1000, tol: float = 1e-6, by_joins: bool = False) -> DataFrame:
     """(id, val): eigenvector centrality by power steps with A + I, of length one after each."""
 
     def kernel(x, g):
@@ -148,36 +150,35 @@ def eigenvector(graph: Graph, max_iter: int = 1000, tol: float = 1e-6) -> DataFr
         return x / (np.sqrt((x * x).sum()) or 1.0)
 
     def update(table, edges, n):
-        return _normalised(_gathered(table, edges).select("id", "deg", (F.col("val") + F.col("got")).alias("val"))), _moved
+        return _normalised(_gathered(table, edges).select("id", "deg", (F.col("val") + F.col("got")).alias("val")))
 
-    return iterate(graph, 1.0 / max(1, graph.count_nodes()), update, kernel, max_iter, tol)
+    n = max(1, graph.count_nodes())
+    return iterate(graph, 1.0 / n, update, kernel, max_iter, tol * n, by_joins)
 
 
-def katz(graph: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: int = 1000, tol: float = 1e-6, normalized: bool = True) -> DataFrame:
+def katz(graph: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: int = 1000, tol: float = 1e-6, normalized: bool = True, by_joins: bool = False) -> DataFrame:
     """(id, val): Katz centrality from zero; ``normalized`` to length one."""
 
     def kernel(x, g):
         return alpha * g.product(x) + beta
 
     def update(table, edges, n):
-        return _gathered(table, edges).select("id", "deg", (alpha * F.col("got") + beta).alias("val")), _moved
+        return _gathered(table, edges).select("id", "deg", (alpha * F.col("got") + beta).alias("val"))
 
-    out = iterate(graph, 0.0, update, kernel, max_iter, tol)
+    out = iterate(graph, 0.0, update, kernel, max_iter, tol * graph.count_nodes(), by_joins)
     return _normalised(out) if normalized else out
 
 
-def katz_vector(graph: Graph, alpha: float = 0.1, beta: float = 1.0, num_iters: int = 10_000, tol: float = 1e-12) -> DataFrame:
+def katz_vector(graph: Graph, alpha: float = 0.1, beta: float = 1.0, num_iters: int = 10_000, tol: float = 1e-12, by_joins: bool = False) -> DataFrame:
     """(id, val): the fixpoint of v = alpha A v + beta, not normalised, to an L2 change under ``tol``; the iterate before the last step."""
-    arrays = small(graph)
-    if arrays is None:
-        return katz(graph, alpha, beta, num_iters, tol / max(1, graph.count_nodes()), normalized=False)
-    x = np.zeros(arrays.n)
-    for _ in range(num_iters):
-        after = alpha * arrays.product(x) + beta
-        if np.sqrt(((after - x) ** 2).sum()) < tol:
-            break
-        x = after
-    return _frame(graph, arrays, x)
+
+    def kernel(x, g):
+        return alpha * g.product(x) + beta
+
+    def update(table, edges, n):
+        return _gathered(table, edges).select("id", "deg", (alpha * F.col("got") + beta).alias("val"))
+
+    return iterate(graph, 0.0, update, kernel, num_iters, tol, by_joins, squares=True, before=True)
 
 
 def spectral_radius(arrays: Arrays, rounds: int = 5000, tol: float = 1e-12) -> float:

@@ -29,6 +29,17 @@ def coloured(edges: DataFrame, colors: DataFrame) -> DataFrame:
     return ends.select(F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("a"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("b"), F.least("cs", "cd").alias("c1"), F.greatest("cs", "cd").alias("c2"))
 
 
+def oriented(edges: DataFrame, labellings: list[DataFrame]) -> DataFrame:
+    """(src, dst): each edge from the end with the smaller colour in the first of the labellings (id, color) that tells its ends apart; as it was if none does."""
+    out, turn = edges.select("src", "dst"), F.lit(False)
+    for i, colors in enumerate(labellings):
+        out = out.join(colors.select(F.col("id").alias("src"), F.col("color").alias(f"s{i}")), "src").join(colors.select(F.col("id").alias("dst"), F.col("color").alias(f"d{i}")), "dst")
+    for i in reversed(range(len(labellings))):
+        s, d = F.col(f"s{i}"), F.col(f"d{i}")
+        turn = F.when(s != d, s > d).otherwise(turn)
+    return out.select(F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("dst"))
+
+
 def blocks(edges: DataFrame) -> DataFrame:
     """(c1, c2, m, dead) of coloured edges; a dead block admits no swap: one edge, or one node on a side between two colours."""
     sides = edges.groupBy("c1", "c2").agg(F.count("*").alias("m"), F.min("a").alias("a1"), F.max("a").alias("a2"), F.min("b").alias("b1"), F.max("b").alias("b2"))
@@ -108,8 +119,9 @@ def _chain(r, seed: int):
     return chain
 
 
-def rewire(graph: Graph, colors: DataFrame, r: int | float | tuple = 1, seed: int = 0, block: int = BLOCK) -> Graph:
-    """The graph after about r swap attempts per edge inside blocks of ``colors`` (id, color)."""
+def rewire(graph: Graph, colors: DataFrame, r: int | float | tuple = 1, seed: int = 0, block: int = BLOCK, parallel: bool = False) -> Graph:
+    """The graph after about r swap attempts per edge inside blocks of ``colors`` (id, color); of a pair r, a random number between. ``parallel`` runs every block in rounds."""
+    block = 0 if parallel else block
     edges = hold(coloured(graph.edges, colors))
     found = hold(blocks(edges))
     dead = edges.join(found.where("dead"), ["c1", "c2"], "left_semi").select("a", "b")
@@ -118,7 +130,7 @@ def rewire(graph: Graph, colors: DataFrame, r: int | float | tuple = 1, seed: in
     large = found.where(~F.col("dead") & (F.col("m") > block))
     if large.limit(1).count():
         part = materialize(edges.join(large.select("c1", "c2"), ["c1", "c2"]))
-        times = r[1] if isinstance(r, tuple) else r
+        times = np.random.default_rng(seed & 0xFFFFFFFF).uniform(*r) if isinstance(r, tuple) else r
         for i in range(max(1, round(2 * times))):  # a round tries a swap per two edges
             after = swap_round(part, i, seed)
             discard(part)

@@ -6,6 +6,8 @@ rounded, as sums come in any order.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from veilgraph.graph import Graph, both_ways, canonical, dense
 from veilgraph.operators import anonymize, centrality, colours, rewiring, structure, wl
 from veilgraph.operators.components import connected_components
 from veilgraph.plans import metrics, reports
-from veilgraph.plans.workspace import materialize
-from veilgraph.sources import generators
+from veilgraph.plans.workspace import materialize, shared_root
+from veilgraph.sources import files, generators
 from veilgraph.sources.tables import customer_graph, part_graph, thinned
 
 QUERIES: dict = {}
@@ -88,8 +90,16 @@ def dense_colors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def validation_counts(spark: SparkSession, folder: str) -> DataFrame:
-    g = part_graph(spark, folder)
-    return g.nodes.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"))
+    """Counts of the graph with ids from 0, as ``validate`` lets it through, and whether it refuses one with an edge to a node that isn't there."""
+    g = _g(spark, folder).relabel()[0].validate()
+    astray = Graph(g.nodes, g.edges.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))))
+    try:
+        astray.validate()
+        refused = False
+    except ValueError:
+        refused = True
+    found = g.nodes.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high"))
+    return found.withColumns({"edges": F.lit(g.count_edges()), "refused": F.lit(refused)})
 
 
 @query
@@ -102,6 +112,70 @@ def generated_two_grids(spark: SparkSession, folder: str) -> DataFrame:
     return generators.two_grids(spark).degrees()
 
 
+@query
+def generated_gnm(spark: SparkSession, folder: str) -> DataFrame:
+    return generators.gnm(spark, 300, 500, 8).edges
+
+
+@query
+def generated_preferential(spark: SparkSession, folder: str) -> DataFrame:
+    return generators.barabasi_albert(spark, 400, 1, 5).edges
+
+
+@query
+def generated_preferential_degrees(spark: SparkSession, folder: str) -> DataFrame:
+    """Of 200 nodes bringing 3 edges each: their number, and that no node has fewer."""
+    g = generators.barabasi_albert(spark, 200, 3, 5).validate()
+    return g.degrees().agg(F.count("*").alias("nodes"), F.sum("deg").alias("ends"), (F.min("deg") >= 1).alias("joined"), F.count_if((F.col("id") > 3) & (F.col("deg") < 3)).alias("short"))
+
+
+def _path(spark) -> str:
+    return f"{shared_root(spark)}/veilgraph/files-{uuid.uuid4().hex}"
+
+
+@query
+def edge_list_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Written as compressed lines and read again."""
+    path = _path(spark)
+    files.write_edge_list(part_graph(spark, folder), path)
+    return files.read_edge_list(spark, path).edges
+
+
+@query
+def json_edges_read(spark: SparkSession, folder: str) -> DataFrame:
+    path = _path(spark)
+    pairs = F.to_json(F.sort_array(F.collect_list(F.array("src", "dst"))))
+    part_graph(spark, folder).edges.agg(pairs.alias("value")).write.text(path)
+    return files.read_json_edges(spark, path).edges
+
+
+@query
+def gml_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Degrees by the label of the nodes, which are numbered anew."""
+    path, g = _path(spark), part_graph(spark, folder)
+    line = lambda *parts: F.concat(*(F.lit(p) if i % 2 == 0 else F.col(p).cast("string") for i, p in enumerate(parts)))
+    nodes = g.nodes.agg(F.array_join(F.sort_array(F.collect_list(line('  node [\n    id ', "id", '\n    label "p', "id", '"\n  ]\n'))), "").alias("n"))
+    edges = g.edges.agg(F.array_join(F.sort_array(F.collect_list(line("  edge [\n    source ", "src", "\n    target ", "dst", "\n  ]\n"))), "").alias("e"))
+    nodes.join(edges).select(F.concat(F.lit("graph [\n"), "n", "e", F.lit("]\n")).alias("value")).write.text(path)
+    read = files.read_gml(spark, path)
+    return read.degrees().join(read.nodes, "id").select("label", "deg")
+
+
+@query
+def graph_written_and_read(spark: SparkSession, folder: str) -> DataFrame:
+    path = _path(spark)
+    files.write_graph(_c(spark, folder), path)
+    return files.read_graph(spark, path).degrees()
+
+
+@query
+def edges_oriented(spark: SparkSession, folder: str) -> DataFrame:
+    """By size of the part, then by brand, then as they are."""
+    parts = spark.read.parquet(f"{folder}/part.parquet")
+    labellings = [parts.select(F.col("p_partkey").alias("id"), F.col(c).alias("color")) for c in ("p_size", "p_brand")]
+    return rewiring.oriented(part_graph(spark, folder).edges, labellings)
+
+
 # scalar metrics
 
 
@@ -180,17 +254,38 @@ STEPS = 10
 
 @query
 def pagerank(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(centrality.pagerank(_c(spark, folder), max_iter=STEPS, tol=0), "val", digits=10)
+    return _rounded(centrality.pagerank(_c(spark, folder)), "val", digits=10)
 
 
 @query
 def katz(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(centrality.katz(_c(spark, folder), max_iter=STEPS, tol=0), "val", digits=10)
+    return _rounded(centrality.katz(_c(spark, folder)), "val", digits=10)
 
 
 @query
 def eigenvector(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(centrality.eigenvector(_c(spark, folder), max_iter=STEPS, tol=0), "val", digits=10)
+    return _rounded(centrality.eigenvector(_c(spark, folder)), "val", digits=10)
+
+
+@query
+def katz_vector(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(centrality.katz_vector(_c(spark, folder), alpha=0.05), "val", digits=9)
+
+
+@query
+def pagerank_by_joins(spark: SparkSession, folder: str) -> DataFrame:
+    """The form for graphs of any size; this and the next two take a few steps of the same kind."""
+    return _rounded(centrality.pagerank(_c(spark, folder), max_iter=STEPS, tol=0, by_joins=True), "val", digits=10)
+
+
+@query
+def katz_by_joins(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(centrality.katz(_c(spark, folder), max_iter=STEPS, tol=0, by_joins=True), "val", digits=10)
+
+
+@query
+def eigenvector_by_joins(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(centrality.eigenvector(_c(spark, folder), max_iter=STEPS, tol=0, by_joins=True), "val", digits=10)
 
 
 @query
@@ -205,17 +300,17 @@ def _w1(spark, folder, function, **options) -> DataFrame:
 
 @query
 def pagerank_w1(spark: SparkSession, folder: str) -> DataFrame:
-    return _w1(spark, folder, centrality.pagerank, max_iter=STEPS, tol=0)
+    return _w1(spark, folder, centrality.pagerank)
 
 
 @query
 def katz_w1(spark: SparkSession, folder: str) -> DataFrame:
-    return _w1(spark, folder, centrality.katz, max_iter=STEPS, tol=0)
+    return _w1(spark, folder, centrality.katz)
 
 
 @query
 def eigenvector_w1(spark: SparkSession, folder: str) -> DataFrame:
-    return _w1(spark, folder, centrality.eigenvector, max_iter=STEPS, tol=0)
+    return _w1(spark, folder, centrality.eigenvector)
 
 
 @query
@@ -267,6 +362,34 @@ def color_degree(spark: SparkSession, folder: str) -> DataFrame:
     return colours.colour_degrees(g, _by_degree(g))
 
 
+@query
+def color_histogram_directed(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbours by segment of customers; arcs go from the smaller id."""
+    g = _c(spark, folder)
+    colors = g.nodes.select("id", F.col("segment").alias("color"))
+    return colours.colour_histogram(g, colors, g.edges)
+
+
+@query
+def distinct_colors(spark: SparkSession, folder: str) -> DataFrame:
+    g = _g(spark, folder)
+    return wl.wl_table(g, 4).groupBy("round").agg(F.count_distinct("color").alias("colors"))
+
+
+@query
+def wl_directed_d2(spark: SparkSession, folder: str) -> DataFrame:
+    g = _g(spark, folder)
+    return wl.wl_directed(g.nodes, g.edges, 2)
+
+
+@query
+def nest_validated(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the colours to depth 1 are alike in a graph and its NeSt sample, and in a graph and one without some edges."""
+    g = _g(spark, folder)
+    h = anonymize.NestModelAnonymizer(1, 1, parallel=True).anonymize(g, 2)
+    return spark.createDataFrame([(anonymize.validate_nest(g, h, 1), anonymize.validate_nest(g, thinned(g), 1))], "sampled boolean, thinned boolean")
+
+
 @query
 def color_pair_totals(spark: SparkSession, folder: str) -> DataFrame:
     g = _c(spark, folder)
@@ -355,6 +478,11 @@ def pygmalion_pseudograph(spark: SparkSession, folder: str) -> DataFrame:
     return anonymize.PygmalionModelAnonymizer.pseudograph(counts, 4).edges
 
 
+@query
+def pygmalion_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return anonymize.PygmalionModelAnonymizer(1.0).noisy_counts(_g(spark, folder), 4)
+
+
 @query
 def pygmalion(spark: SparkSession, folder: str) -> DataFrame:
     return anonymize.PygmalionModelAnonymizer(1.0).anonymize(_g(spark, folder), 4).edges
@@ -379,30 +507,51 @@ def configuration_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def nest_degrees_preserved(spark: SparkSession, folder: str) -> DataFrame:
-    return anonymize.NestModelAnonymizer(2, 2).anonymize(_g(spark, folder), 1).degrees()
+def nest_rewired_edges(spark: SparkSession, folder: str) -> DataFrame:
+    return anonymize.NestModelAnonymizer(2, 1, parallel=True).anonymize(_g(spark, folder), 1).edges
 
 
 @query
-def nest_wl_colors_preserved(spark: SparkSession, folder: str) -> DataFrame:
-    return wl.wl_colors(anonymize.NestModelAnonymizer(2, 2).anonymize(_g(spark, folder), 1), 2)
+def ccm_rewired_edges(spark: SparkSession, folder: str) -> DataFrame:
+    g = _c(spark, folder)
+    return rewiring.rewire(g, _by_degree(g), 1, 6, parallel=True).edges
+
+
+def _changes(before: Graph, after: Graph, colors: DataFrame) -> DataFrame:
+    """What an anonymiser is to keep, and that it moved at least an edge in fifty (an edge at least)."""
+    after = Graph(after.nodes, materialize(after.edges)).validate(contiguous=False)
+    moved = after.edges.join(before.edges, ["src", "dst"], "left_anti").count()
+    changed = rewiring.colour_degree_changes(before, after, colors).count()
+    wl2 = wl.equal_labellings(before.degrees().withColumnRenamed("deg", "color"), after.degrees().withColumnRenamed("deg", "color"))
+    return before.nodes.sparkSession.createDataFrame(
+        [(after.count_nodes(), after.count_edges(), wl2, changed, moved >= max(1, before.count_edges() // 50))], "nodes long, edges long, degrees_kept boolean, color_degrees_changed long, moved boolean"
+    )
 
 
 @query
-def ccm_color_degrees_preserved(spark: SparkSession, folder: str) -> DataFrame:
+def nest_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The chain of swaps in each block."""
+    g = _g(spark, folder)
+    return _changes(g, anonymize.NestModelAnonymizer(2, 2).anonymize(g, 1), wl.wl_colors(g, 1))
+
+
+@query
+def ccm_changes(spark: SparkSession, folder: str) -> DataFrame:
     g = _c(spark, folder)
     colors = _by_degree(g)
-    return colours.colour_degrees(rewiring.rewire(g, colors, 10, 6), colors)
+    return _changes(g, rewiring.rewire(g, colors, (1, 3), 6), colors)
 
 
 @query
-def variant_nest_degrees_preserved(spark: SparkSession, folder: str) -> DataFrame:
-    return anonymize.VariantNestModelAnonymizer(20).anonymize(_c(spark, folder), 1).degrees()
+def variant_nest_changes(spark: SparkSession, folder: str) -> DataFrame:
+    g, method = _c(spark, folder), anonymize.VariantNestModelAnonymizer(20)
+    return _changes(g, method.anonymize(g, 1), materialize(method.colours(g)))
 
 
 @query
-def private_color_degrees_preserved(spark: SparkSession, folder: str) -> DataFrame:
-    return anonymize.PrivateColorAnonymizer(0.001, alpha=0.03).anonymize(_c(spark, folder), 1).degrees()
+def private_color_changes(spark: SparkSession, folder: str) -> DataFrame:
+    g, method = _c(spark, folder), anonymize.PrivateColorAnonymizer(0.001, alpha=0.03)
+    return _changes(g, method.anonymize(g, 1), materialize(method.colours(g)))
 
 
 @query
@@ -415,10 +564,24 @@ def k_degree_sequence(spark: SparkSession, folder: str) -> DataFrame:
     return anonymize.anonymise_degree_sequence(_c(spark, folder), 10)
 
 
+@query
+def k_degree_sequence_additions(spark: SparkSession, folder: str) -> DataFrame:
+    return anonymize.anonymise_degree_sequence(_c(spark, folder), 10, deletions=False)
+
+
+@query
+def k_degree_sequence_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return anonymize.anonymise_degree_sequence(_c(spark, folder), 10, exact=True)
+
+
 @query
 def k_degree_anonymous(spark: SparkSession, folder: str) -> DataFrame:
-    out = anonymize.KDegreeAnonymizer(10).anonymize(_c(spark, folder), 1)
-    return structure.k_degree_fraction(out, 10)
+    """All nodes share their degree with nine others, and edges changed; the original wasn't so."""
+    g = _c(spark, folder)
+    out = anonymize.KDegreeAnonymizer(10).anonymize(g, 1).validate(contiguous=False)
+    new, old = out.edges.join(g.edges, ["src", "dst"], "left_anti").count(), g.edges.join(out.edges, ["src", "dst"], "left_anti").count()
+    before = structure.k_degree_fraction(g, 10).first()[0]
+    return structure.k_degree_fraction(out, 10).withColumns({"nodes": F.lit(out.count_nodes()), "changed": F.lit(new + old > 0 or before == 1)})
 
 
 @query
@@ -429,13 +592,17 @@ def local_search_colors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query
-def soft_color_degrees_preserved(spark: SparkSession, folder: str) -> DataFrame:
-    return anonymize.SoftColorAnonymizer(6, 0.01, max_epochs=200).anonymize(generators.two_grids(spark), 1).degrees()
+def soft_color_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """On the two grids; degrees are kept, edges move."""
+    g = generators.two_grids(spark)
+    return _changes(g, anonymize.SoftColorAnonymizer(6, 0.01, max_epochs=200).anonymize(g, 1), g.nodes.select("id", F.lit(0).alias("color")))
 
 
 @query
-def closeness_color_degrees_preserved(spark: SparkSession, folder: str) -> DataFrame:
-    return anonymize.PrivateClosenessColors(0.01, closeness_samples=2, r=2).anonymize(generators.path(spark, 8), 1).degrees()
+def closeness_color_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """On a path of 8 nodes."""
+    g = generators.path(spark, 8)
+    return _changes(g, anonymize.PrivateClosenessColors(0.5, closeness_samples=2, r=2).anonymize(g, 1), g.nodes.select("id", F.lit(0).alias("color")))
 
 
 # evaluation and reports
@@ -455,6 +622,11 @@ def evaluator_report(spark: SparkSession, folder: str) -> DataFrame:
             "avg_clustering": metrics.AverageClusteringCoefficientMetric(),
             "transitivity": metrics.TransitivityMetric(),
             "degree_w1": metrics.DegreeCentralityMetric(),
+            "clustering_w1": metrics.LocalClusteringCoefficientMetric(),
+            "eigenvector_w1": metrics.EigenvectorMetric(),
+            "katz_w1": metrics.KatzCentralityMetric(),
+            "pagerank_w1": metrics.PageRankMetric(),
+            "closeness_w1": metrics.ClosenessCentralityMetric(),
             "wl_2": metrics.WLColorMetric(2),
             "jaccard": metrics.EdgeJaccardMetric(),
             "k_degree_20": metrics.PercentageKDegreeAnonMetric(20),
@@ -518,3 +690,25 @@ def group_means(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def sample_description(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(reports.describe(_samples(spark, folder)), "mean", "std", "q25", "q50", "q75")
+
+
+@query
+def methods_renamed(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.renamed(_samples(spark, folder), {"A": "accepted", "R": "returned"}).groupBy("method").agg(F.count("*").alias("n"))
+
+
+@query
+def metrics_arranged(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows by a list of keys, one of which the table doesn't have."""
+    return reports.arranged(metric_pivot(spark, folder), "method", ["R", "X", "A"])
+
+
+@query
+def metrics_transposed(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.transposed(metric_pivot(spark, folder), "method", ["A", "N", "R"])
+
+
+@query
+def report_latex(spark: SparkSession, folder: str) -> DataFrame:
+    regions = spark.read.parquet(f"{folder}/region.parquet").select("r_regionkey", "r_name").orderBy("r_regionkey")
+    return spark.createDataFrame([(reports.latex(regions),)], "latex string")

@@ -61,6 +61,23 @@ def describe(samples: DataFrame, value: str = "value") -> DataFrame:
     return samples.groupBy("metric").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("low"), *quarters, F.max(value).alias("high"))
 
 
+def renamed(samples: DataFrame, names: dict[str, str], column: str = "method") -> DataFrame:
+    """Values of a column replaced by others; those without another stay."""
+    return samples.replace(names, subset=[column])
+
+
+def arranged(table: DataFrame, key: str, order: list) -> DataFrame:
+    """Rows in the order of the keys given, one at least for each (of nulls where the table has none); rows with other keys go."""
+    places = table.sparkSession.createDataFrame([(k, i) for i, k in enumerate(order)], f"{key} {table.schema[key].dataType.simpleString()}, _place int")
+    return places.join(table, key, "left").orderBy("_place").select(table.columns)
+
+
+def transposed(table: DataFrame, key: str, columns: list) -> DataFrame:
+    """Columns as rows (name, one column per key in ``columns``), for a report's few numeric columns."""
+    values = [c for c in table.columns if c != key]
+    return table.unpivot([key], values, "name", "_value").groupBy("name").pivot(key, columns).agg(F.first("_value"))
+
+
 def latex(table: DataFrame, digits: int = 3, most_rows: int = 1000) -> str:
     """A LaTeX tabular of a report's rows; refuses tables that aren't reports."""
     rows = table.limit(most_rows + 1).collect()

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgraph.functions import hashrand
 from veilgraph.graph import Graph, canonical
+from veilgraph.plans.workspace import materialize
 
 
 #: Pairs up to which each is drawn by itself.
@@ -45,21 +48,41 @@ def gnm(spark: SparkSession, n: int, m: int, seed: int = 0) -> Graph:
 
 
 def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = 0) -> Graph:
-    """Preferential attachment from a star of m + 1 nodes; every later node joins m distinct ones in proportion to degree. Sequential, so made by the driver."""
+    """Preferential attachment: each node after a star of the first m + 1 joins m distinct earlier ones in proportion to degree.
+
+    All edges are made at once (Sanders and Schulz, "Scalable generation of scale-free graphs", 2016): an edge's other end is a random place in the list of
+    earlier nodes' ends; at an even place stands the node that brings the edge, an odd place is looked up in turn. A look-up of all open places is a
+    join, and about half of them are open after it. Edges that meet another of their node draw again, until none do.
+    """
     if not 1 <= m < n:
         raise ValueError("m is 1 to n - 1")
-    rng, ends, rows = np.random.default_rng(seed), [], []
-    for v in range(1, m + 1):
-        rows.append((0, v))
-        ends += [0, v]
-    for v in range(m + 1, n):
-        chosen: set[int] = set()
-        while len(chosen) < m:
-            chosen.add(ends[int(rng.integers(len(ends)))])
-        for u in sorted(chosen):
-            rows.append((u, v))
-            ends += [u, v]
-    return Graph(spark.range(n), spark.createDataFrame(pd.DataFrame(rows, columns=["src", "dst"]), "src long, dst long"))
+    edges = spark.range(m, m + (n - m - 1) * m).select(F.col("id").alias("e"), F.lit(0).alias("turn"))
+    while True:
+        made = _attached(edges, m, seed)
+        again = made.withColumn("nth", F.row_number().over(Window.partitionBy("src", "dst").orderBy("e"))).where("nth > 1").select("e", F.lit(1).alias("more"))
+        again = materialize(again)
+        if not again.limit(1).count():
+            break
+        edges = materialize(edges.join(again, "e", "left").select("e", (F.col("turn") + F.coalesce("more", F.lit(0))).alias("turn")))
+    star = spark.range(1, m + 1).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    return Graph(spark.range(n), star.unionByName(made.select("src", "dst")))
+
+
+def _attached(edges: DataFrame, m: int, seed: int) -> DataFrame:
+    """(e, src, dst) of edges (e, turn): the ends that their draws lead to. The first m edges are a star around node 0."""
+    drawn = hashrand.integer(f"{seed}:end", "e", "turn", digits=13)
+    chosen = materialize(edges.select("e", (drawn % (2 * (F.col("e") - F.col("e") % m))).alias("at")))
+    brought = lambda e: F.when(e < m, e + 1).otherwise(F.floor((e - m) / m) + m + 1).cast("long")
+    found, left = [], chosen.select("e", "at")
+    while True:
+        e = F.floor(F.col("at") / 2).cast("long")
+        known = (F.col("at") % 2 == 0) | (F.col("at") < 2 * m)
+        end = F.when(F.col("at") % 2 == 0, brought(e)).otherwise(0).cast("long")
+        found.append(left.where(known).select("e", end.alias("src"), brought(F.col("e")).alias("dst")))
+        through = left.where(~known).select("e", e.alias("through"))
+        left = materialize(through.join(chosen.select(F.col("e").alias("through"), "at"), "through").select("e", "at"))
+        if not left.limit(1).count():
+            return materialize(reduce(DataFrame.unionByName, found))
 
 
 def planted_communities(spark: SparkSession, n: int, mean_degree: float, mixing: float, degree_power: float = 2.5, size_power: float = 1.5, min_size: int = 10, seed: int = 0) -> Graph:
