@@ -4,11 +4,13 @@ A document's tokens, ended by an end token, are one piece; only a longer one tha
 whole sequences after a first piece that takes the remainder. Whole pieces are sequences by themselves. The
 others, at most one per document, are dealt evenly to tasks of about ``TASK`` pieces, and each task
 
-1. places them best-fit in decreasing length, then
+1. places them best-fit in the order in which they come, then
 2. empties its least filled sequences by local search: it moves a document to another underfull sequence, or
    exchanges one for one or two for one, each time what raises the sum of squared fills most for the
    sequence being emptied. It ends when no sequence can give in a way that raises the sum, or with as few sequences as can be.
 
+The order of coming leaves the work to the search: best fit in decreasing length would itself be near the least number where documents are short.
+
 More tasks cost at most a part of a sequence each. A vocabulary of byte-level BPE without merges
 to skip is run by ``tiktoken`` from the ranks in the tokenizer's file, as it gives the same ids at several times the speed; any other,
 and a text that spells a special token, by ``tokenizers``.
@@ -99,12 +101,12 @@ def _pieces(path: str, length: int, end: int):
     return pieces
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item numbers: each item, largest first, goes where it leaves the least room."""
+def best_fit(sizes: list[int], capacity: int, decreasing: bool = False) -> list[list[int]]:
+    """Bins of item numbers: each item, in the order given or largest first, goes where it leaves the least room."""
     bins: list[list[int]] = []
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     rooms = 0  # bit r: some bin has r tokens of room
-    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)) if decreasing else range(len(sizes)):
         size = sizes[item]
         fitting = rooms >> size
         if fitting:
@@ -194,8 +196,8 @@ class _Underfull:
         return target
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Fewer bins, where moves and exchanges between underfull bins can empty some.
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int, report: dict | None = None) -> list[list[int]]:
+    """Fewer bins, where moves and exchanges between underfull bins can empty some; ``report`` gets the numbers of steps and of emptied bins.
 
     Every step raises the sum of squared fills, the least filled bin that can give giving first. The search ends when no bin can give, or
     with as many bins as the sizes need at the least.
@@ -205,7 +207,7 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list
     if left <= least:
         return [list(b) for b in bins]
     under = _Underfull(size, bins, capacity)
-    moved = True
+    moved, steps = True, 0
     while moved and left > least:
         moved = False
         queue = [(f, b) for b, f in enumerate(under.fill) if 0 < f < capacity]
@@ -215,10 +217,13 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list
             if fill != under.fill[source] or (target := under.move(source)) is None:
                 continue
             moved = True
+            steps += 1
             left -= not under.bins[source]
             for b in (source, target):
                 if 0 < under.fill[b] < capacity:
                     heapq.heappush(queue, (under.fill[b], b))
+    if report is not None:
+        report.update(steps=steps, emptied=len(bins) - left)
     return [b for b in under.bins if b]
 
 
