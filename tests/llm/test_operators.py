@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -635,6 +636,11 @@ def test_local_search_goes_on_for_a_whole_task():
 # 7
 
 
+def _hash_int(value, seed):
+    """XXH64 of four bytes, as the published algorithm has it."""
+    return xxhash.xxh64(struct.pack("<i", value), seed=seed).intdigest()
+
+
 def test_sharding(docs, rows, empty, spark):
     got = sharding.shard(docs, [1.0] * 24).collect()
     want = Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
@@ -645,6 +651,17 @@ def test_sharding(docs, rows, empty, spark):
         slots.setdefault(r.shard, []).append((r.slot, r.doc_id))
     for s in slots.values():
         assert [x[0] for x in sorted(s)] == list(range(len(s)))
+    # the shard with the largest weight / -ln(u), u from 53 bits of XXH64 of the id chained with the shard's number
+    def drawn(key, shard):
+        seed = 42 if key is None else xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
+        return ((_hash_int(shard, seed) >> 11) + 0.5) / (1 << 53)
+
+    def best(key, weights):
+        return max(range(len(weights)), key=lambda i: (weights[i] / -math.log(drawn(key, i)), -i))
+
+    for weights in ([1.0] * 24, [1.0, 2.5, 0.5]):
+        for r in sharding.shard(docs, weights).collect():
+            assert (r.shard, r.grown_shard) == (best(r.doc_id, weights), best(r.doc_id, [*weights, 1.0]))
     assert sharding.shard(empty, [1.0] * 24).count() == 0
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     weights = [1.0, 2.0, 3.0, 4.0]

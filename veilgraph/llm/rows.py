@@ -1,4 +1,4 @@
-"""Row keys for tables whose ids may be null or repeat."""
+"""Row keys for tables whose ids may be null or repeat. Rows alike in id and text are told apart by their place, so that many of them don't fall in one range."""
 
 from __future__ import annotations
 
@@ -19,8 +19,8 @@ def unique_ids(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = (
     more = plain.columns[2:]
     if plain.groupBy("own").count().where("count > 1 or own is null").limit(1).count() == 0:
         return plain.select(F.col("own").alias("id"), "bytes", "own", *more)
-    order = [F.col("own").asc_nulls_last(), F.xxhash64("bytes")]
-    return materialize(numbered(plain, order, name="id").select("id", "bytes", "own", *more))
+    order = [F.col("own").asc_nulls_last(), F.xxhash64("bytes"), F.col("_tie")]
+    return materialize(numbered(plain.withColumn("_tie", F.monotonically_increasing_id()), order, name="id").select("id", "bytes", "own", *more))
 
 
 def with_keys(docs: DataFrame, id_col: str, by: list[str], name: str) -> DataFrame:
@@ -28,7 +28,8 @@ def with_keys(docs: DataFrame, id_col: str, by: list[str], name: str) -> DataFra
     own = docs[id_col].cast("long")
     if docs.select(own.alias("own")).groupBy("own").count().where("count > 1 or own is null").limit(1).count() == 0:
         return docs.withColumn(name, own)
-    return materialize(numbered(docs, [own.asc_nulls_last(), F.xxhash64(*(docs[c] for c in by))], name=name))
+    order = [own.asc_nulls_last(), F.xxhash64(*(docs[c] for c in by)), F.col("_tie")]
+    return materialize(numbered(docs.withColumn("_tie", F.monotonically_increasing_id()), order, name=name).drop("_tie"))
 
 
 def plainly(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -87,8 +87,13 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (found[1].translate(_LOWER), found[2]) if found else ("", "")
 
 
-def _judge(trie: Trie, default: str):
+#: Bytes of rules, pickled, that are broadcast at most: they are a list that people keep, not a table that grows with the corpus.
+MOST_BYTES = 256 << 20
+
+
+def _judge(shared, default: str):
     def judge(batches):
+        trie = shared.value
         for batch in batches:
             parts = [split_url(u) for u in batch.column(1).to_pylist()]
             found = [trie.find(*p) for p in parts]
@@ -102,9 +107,13 @@ def _judge(trie: Trie, default: str):
 
 def judge(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict), one row per row of ``pages``."""
+    rules = list(rules)
+    if sum(len(rule) + 64 for _, rule in rules) > MOST_BYTES:
+        raise ValueError(f"the rules' trie is broadcast and takes at most {MOST_BYTES} bytes of rules")
+    shared = pages.sparkSession.sparkContext.broadcast(Trie(rules))
     bounded_batches(pages.sparkSession, records=10_000)
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).mapInArrow(
-        freeing(_judge(Trie(rules), default)), "page_id long, host string, path string, rule string, verdict string"
+        freeing(_judge(shared, default)), "page_id long, host string, path string, rule string, verdict string"
     )
 
 
