@@ -174,6 +174,18 @@ WITH e AS (
   UNION ALL SELECT range + 15, range + 16 FROM range(11))
 SELECT id, count(*) AS deg FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id"""
 
+_U = "(('0x' || substr(md5('{0}'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE"
+SQL["generated_communities"] = _with(
+    f"sizes AS (SELECT range AS c, least(floor(10.0::DOUBLE * pow(1 - {_U.format("3:size:' || range || '")}, -1.0::DOUBLE / 1.5))::BIGINT, 500) AS size FROM range(50))",
+    "placed AS (SELECT c, sum(size) OVER (ORDER BY c) - size AS low, least(sum(size) OVER (ORDER BY c), 500) AS upto FROM sizes)",
+    "nodes AS MATERIALIZED (SELECT r.range AS id, c FROM placed JOIN range(500) r ON r.range >= low AND r.range < upto)",
+    f"deg AS (SELECT id, c, floor(least(greatest(1.0::DOUBLE, 2.0::DOUBLE * pow(1 - {_U.format("3:degree:' || id || '")}, -1.0::DOUBLE / 1.5)), 2 * sqrt(500.0::DOUBLE)))::BIGINT AS d FROM nodes)",
+    "each AS (SELECT id, c, unnest(range(1, d + 1)) AS stub FROM deg)",
+    f"stubs AS (SELECT id, stub, CASE WHEN {_U.format("3:out:' || id || ':' || stub || '")} < 0.2 THEN -1 ELSE c END AS grp FROM each)",
+    "met AS (SELECT grp, (row_number() OVER (PARTITION BY grp ORDER BY md5('3:stub:' || id || ':' || stub), id, stub) - 1) // 2 AS pair, id FROM stubs)",
+    "edges AS (SELECT DISTINCT src, dst FROM (SELECT min(id) AS src, max(id) AS dst FROM met GROUP BY grp, pair) WHERE src <> dst)",
+) + "SELECT src, dst, a.c AS c1, b.c AS c2 FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst"
+
 SQL["num_nodes_edges"] = _with(_PART, _THIN) + """
 SELECT 'G' AS graph, 'nodes' AS what, count(*) AS n FROM v UNION ALL SELECT 'G', 'edges', count(*) FROM g
 UNION ALL SELECT 'Ga', 'nodes', count(*) FROM v UNION ALL SELECT 'Ga', 'edges', count(*) FROM ga"""

@@ -129,6 +129,14 @@ def generated_preferential_degrees(spark: SparkSession, folder: str) -> DataFram
     return g.degrees().agg(F.count("*").alias("nodes"), F.sum("deg").alias("ends"), (F.min("deg") >= 1).alias("joined"), F.count_if((F.col("id") > 3) & (F.col("deg") < 3)).alias("short"))
 
 
+@query
+def generated_communities(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges with the communities of both ends."""
+    g = generators.planted_communities(spark, 500, 6.0, 0.2, seed=3)
+    ends = g.nodes.select(F.col("id").alias("src"), F.col("community").alias("c1")), g.nodes.select(F.col("id").alias("dst"), F.col("community").alias("c2"))
+    return g.edges.join(ends[0], "src").join(ends[1], "dst")
+
+
 def _path(spark) -> str:
     return f"{shared_root(spark)}/veilgraph/files-{uuid.uuid4().hex}"
 

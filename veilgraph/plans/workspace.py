@@ -13,6 +13,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -76,12 +77,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _number(setting: str) -> int:
+    """A setting's number, of bytes if it has a unit."""
+    digits, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", setting.strip().lower()).groups()
+    return int(digits) << 10 * " kmgtp".find(unit.strip("b")[:1] or " ")
+
+
 def bounded_batches(spark: SparkSession, records: int = 2000, size: int = 8 << 20) -> None:
-    """Keep Arrow batches small enough for rows with very long texts."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > records:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Keep Arrow batches small enough for rows with very long texts: the session's bounds are lowered to these where they are above.
+
+    They have to hold when a plan runs, which is after the operator that made it has returned, so they stay.
+    """
+    for key, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", size)):
+        now = _number(spark.conf.get(f"spark.sql.execution.arrow.{key}"))
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def freeing(function):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgraph.functions import hashrand
+from veilgraph.functions.ordered import running_sums
 from veilgraph.graph import Graph, canonical
 from veilgraph.plans.workspace import materialize
 
@@ -88,16 +89,15 @@ def _attached(edges: DataFrame, m: int, seed: int) -> DataFrame:
 def planted_communities(spark: SparkSession, n: int, mean_degree: float, mixing: float, degree_power: float = 2.5, size_power: float = 1.5, min_size: int = 10, seed: int = 0) -> Graph:
     """Communities of power-law sizes and nodes of power-law degrees; a part ``mixing`` of a node's stubs leaves its community.
 
-    Stubs are matched at random inside the community or over all; loops and repeats go. Nodes carry ``community``.
+    Stubs are matched at random inside the community or over all; loops and repeats go. Nodes carry ``community``. Sizes and degrees are hashes, so tables make all of it.
     """
-    rng = np.random.default_rng(seed)
-    sizes: list[int] = []
-    while sum(sizes) < n:
-        sizes.append(min(n - sum(sizes), int(min_size * (1 - rng.random()) ** (-1 / size_power))))
-    community = np.repeat(np.arange(len(sizes)), sizes)
+    power = lambda low, u, exponent: F.lit(float(low)) * F.pow(1 - u, F.lit(-1.0 / exponent))
+    drawn = spark.range(-(-n // min_size)).select(F.col("id").alias("community"), F.least(F.floor(power(min_size, hashrand.uniform(f"{seed}:size", "id"), size_power)), F.lit(n)).cast("long").alias("size"))
+    placed = running_sums(drawn, "community", ["size"]).select("community", (F.col("cum_size") - F.col("size")).alias("first"), F.least("cum_size", F.lit(n)).alias("upto")).where(F.col("first") < n)
+    nodes = placed.select("community", F.explode(F.sequence(F.col("first"), F.col("upto") - 1)).alias("id"))
     low = mean_degree * (degree_power - 2) / (degree_power - 1)
-    degree = np.minimum(np.maximum(1, low * (1 - rng.random(n)) ** (-1 / (degree_power - 1))), n ** 0.5 * 2).astype(int)
-    nodes = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "community": community, "d": degree}), "id long, community long, d long")
+    degree = power(low, hashrand.uniform(f"{seed}:degree", "id"), degree_power - 1)
+    nodes = materialize(nodes.select("id", "community", F.least(F.greatest(F.lit(1.0), degree), F.lit(2 * n**0.5)).cast("long").alias("d")))
     stubs = nodes.select("id", "community", F.explode(F.sequence(F.lit(1).cast("long"), F.col("d"))).alias("no"))
     group = F.when(hashrand.uniform(f"{seed}:out", "id", "no") < mixing, F.lit(-1).cast("long")).otherwise(F.col("community"))
     return Graph(nodes.drop("d"), _matched(stubs.select("id", "no", group.alias("group")), seed))
