@@ -11,10 +11,10 @@ windows never cross documents, and all are judged on the input.
 2. Equal runs. Runs with the same bytes are one string before the shuffle: all windows of all but the
    first are repeats, one row each whatever the size of the group, and the first goes on.
 3. Dealing. The different runs of one gram go to one task. Where a key has more than ``GROUP`` of them (the
-   edges of very common passages), its runs are cut in two by the place of the gram in the window, and
-   the bytes that all windows of a half have in common are its longer key; halves whose key nobody shares
-   end here, equal halves are one again. This goes on until no key has more, at most to the whole window. A
-   run is two rows then, never one for each window, and equal windows always meet under one key.
+   edges of very common passages), its runs are cut in four by the place of the gram in the window, and
+   the bytes that all windows of a part have in common are its longer key; parts whose key nobody shares
+   end here, equal parts are one again. This goes on until no key has more, at most to the whole window. A
+   run is four rows then at most, and equal windows always meet under one key.
 4. Suffix arrays. Every task keeps a logarithmic family of levels, each the positions of the distinct
    suffixes (to LENGTH bytes) in sorted order. Runs come in document order: a batch gets its own suffix array, is
    merge-scanned against every level for matches, and enters as a level of rank 0; two levels of
@@ -41,11 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.llm.rows import unique_ids
-from veilgraph.plans.workspace import bounded_batches, discard, freeing, materialize, release
+from veilgraph.plans.workspace import bounded_batches, discard, freeing, hold, materialize, release
 
 LENGTH, GRAM = 100, 32
 #: Different runs of a key beyond which it is dealt by longer keys; results don't depend on it.
 GROUP = 256
+#: Halvings of the blocks of places at once when a key is made longer.
+HALVINGS = 2
 #: Bytes of text hashed at once; positions in it fit in _POS bits.
 SEGMENT = 1 << 18
 _POS = np.uint64(20)
@@ -309,10 +311,10 @@ def _halve(length: int, gram: int, level: int):
     return halve
 
 
-def _repeats(found: DataFrame, more: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """Equal runs (same gram and whole): the spans of all but the first, and the first of each kind with its columns ``more``."""
+def _repeats(found: DataFrame, keep, more: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """Equal runs (same gram and whole): the spans of all but the first, and the first of each kind with its columns ``more``. ``keep`` makes a table that is read again."""
     kept = F.min(F.struct("id", "first", *more)).alias("least")
-    least = materialize(found.groupBy("gram", "whole").agg(kept, F.max("n").alias("n"), F.count("*").alias("copies")))
+    least = keep(found.groupBy("gram", "whole").agg(kept, F.max("n").alias("n"), F.count("*").alias("copies")))
     later = (
         found.join(least.where("copies > 1").select("gram", "whole", "least.id", "least.first").withColumnsRenamed({"id": "least_id", "first": "least_first"}), ["gram", "whole"])
         .where("id <> least_id or first <> least_first")
@@ -329,25 +331,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     counts = materialize(found.groupBy("gram").count().where("count > 1").select("gram"))
     shared = materialize(found.join(counts.hint("shuffle_hash"), "gram"))
     release(spark)
-    later, kinds = _repeats(shared)
+    later, kinds = _repeats(shared, materialize)
     spans = materialize(later)
     discard(shared)
-    mixed = kinds.join(kinds.groupBy("gram").count().where("count > 1").select("gram"), "gram").select("id", F.struct("gram", "first", "n").alias("run"))
+    several = hold(kinds.groupBy("gram").count().where("count > 1").select("gram"))  # held, so that both sides of the join have an exchange to split
+    mixed = kinds.join(several, "gram").select("id", F.struct("gram", "first", "n").alias("run"))
     chosen = mixed.groupBy("id").agg(F.collect_list("run").alias("chosen"))
     texts = materialize(docs.select("id", "bytes").join(chosen, "id").mapInArrow(freeing(_cut(length)), "gram long, id long, first long, n int, bytes binary"))
     release(spark)
     dealt, windows, level = [], 0, 0
     while True:
-        sizes = materialize(texts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("windows")).where("kinds > 1"))
+        # held, not written: a round is a few small tables, and there are four rounds at the most, so lineage stays short
+        sizes = hold(texts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("windows")).where("kinds > 1"))
         few, many = F.col("kinds") <= group, F.col("kinds") > group
         dealt.append(texts.join(sizes.where(few).select("gram"), "gram"))
         now, large = sizes.agg(F.sum(F.when(few, F.col("windows"))), F.count_if(many)).first()
         windows += now or 0
         if not large:
             break
-        level += 1  # keys of many runs are dealt by longer ones
-        parts = materialize(texts.join(sizes.where(many).select("gram"), "gram").select("id", "first", "n", "bytes").mapInArrow(freeing(_halve(length, gram, level)), f"{_RUN}, bytes binary"))
-        later, kinds = _repeats(parts, ("bytes",))
+        level += HALVINGS  # keys of many runs are dealt by longer ones
+        parts = hold(texts.join(sizes.where(many).select("gram"), "gram").select("id", "first", "n", "bytes").mapInArrow(freeing(_halve(length, gram, level)), f"{_RUN}, bytes binary"))
+        later, kinds = _repeats(parts, hold, ("bytes",))
         spans = spans.unionByName(later)
         texts = kinds.select("gram", "id", "first", "n", "bytes")
     tasks = max(1, -(-windows // TASK))
