@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.functions.ordered import numbered, running_sums
 from veilgraph.llm.rows import plainly, with_keys
-from veilgraph.plans.workspace import hold, materialize
+from veilgraph.plans.workspace import hold
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Weight over training time at evenly spaced knots, for the sources of each weight in turn: heavy ones early, light ones late.
@@ -93,7 +93,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source)).alias("key"),  # joins need it not null
         F.expr(f"coalesce(regexp_count(`{text_col}`, '{WORDS}'), 0)").cast("long").alias("size"),
     )
-    base = materialize(base)
+    base = hold(base)
     digits = DIGITS  # more for larger tables, so that a cell stays about as large
     while base.count() >> 4 * digits > CELL_ROWS:
         digits += 1

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.plans.workspace import bounded_batches, freeing, materialize
+from veilgraph.plans.workspace import bounded_batches, freeing, hold
 
 LENGTH, END, TASK = 2048, 0, 16384
 #: How GPT-2's pre-tokenizer splits text before the merges.
@@ -254,7 +254,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     spark = docs.sparkSession
     bounded_batches(spark)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    pieces = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(freeing(_pieces(path, length, end)), _PIECE))
+    pieces = hold(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(freeing(_pieces(path, length, end)), _PIECE))
     partial = pieces.where(F.col("length") < length)
     tasks = max(1, -(-partial.count() // task))
     packed = partial.repartition(tasks).mapInArrow(freeing(_pack(length)), _PIECE + ", sequence_id long, offset long")

@@ -35,12 +35,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.llm.rows import plainly, with_keys
 from veilgraph.operators.components import connected_components
-from veilgraph.plans.workspace import bounded_batches, freeing, hold, materialize, release
+from veilgraph.plans.workspace import bounded_batches, discard, freeing, hold, materialize, release
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: For near copies: shingle and similarity, bits of a block, blocks, and longs of the fingerprint that verifies.
@@ -158,66 +158,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _block(column: str, block: int, bits: int) -> Column:
-    """One block of a long fingerprint, as a long."""
-    return F.conv(F.substring(F.hex(column), block * bits // 4 + 1, bits // 4), 16, 10).cast("long")
-
-
-def _differing(a: str, b: str, longs: int) -> Column:
-    """The number of bits that differ between two long fingerprints."""
-    return sum(F.bit_count(_signed(a, i).bitwiseXOR(_signed(b, i))) for i in range(longs))
-
-
-def _signed(column: str, i: int) -> Column:
-    """The i-th 64 bits of a long fingerprint, in two halves, as a signed long."""
-    half = lambda k: F.conv(F.substring(F.hex(column), k * 8 + 1, 8), 16, 10).cast("long")
-    return F.shiftleft(half(2 * i), 32).bitwiseOR(half(2 * i + 1))
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY, blocks: int = BLOCKS, bits: int = BLOCK, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, component_id), one row per row of ``docs``, whose ids are unique and not null; component_id is the smallest doc_id reachable by links between near copies."""
-    if radius % 2 or bits % 4 or bits > 60:
-        raise ValueError("blocks of up to 60 bits, by fours, and an even radius")
-    bounded_batches(docs.sparkSession)
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = int(64 * LONG * share + 2 * math.sqrt(64 * LONG * share * (1 - share)))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    marked = materialize(texts.mapInArrow(freeing(_long_fingerprints(shingle, blocks, bits)), "id long, wide binary, exact binary"))
-    # copies are one row before any variant is made
-    distinct = materialize(marked.groupBy("wide", "exact").agg(F.min("id").alias("fp")))
-    masks = F.array(*[F.lit(m) for m in ball(radius // 2, bits)])
-    met = None
-    for block in range(blocks):
-        variants = distinct.select("fp", _block("wide", block, bits).alias("own")).select("fp", F.explode(F.transform(masks, lambda m: F.col("own").bitwiseXOR(m))).alias("variant"))
-        beside = variants.selectExpr("fp", "lag(fp) over (partition by variant order by fp) as before", "min(fp) over (partition by variant order by fp) as first").where("before is not null")
-        pairs = beside.select(F.explode(F.array_distinct(F.array("before", "first"))).alias("src"), F.col("fp").alias("dst")).distinct()
-        pairs = materialize(pairs)
-        release(docs.sparkSession)
-        met = pairs if met is None else met.unionByName(pairs)
-    prints = distinct.select("fp", "exact")
-    met = met.distinct().join(prints.withColumnsRenamed({"fp": "src", "exact": "a"}), "src").join(prints.withColumnsRenamed({"fp": "dst", "exact": "b"}), "dst")
-    parts = connected_components(met.where(_differing("a", "b", LONG) <= most).select("src", "dst"))
-    classes = materialize(distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("wide", "exact", F.coalesce("component", "fp").alias("component_id")))
-    return marked.join(classes, ["wide", "exact"]).select(F.col("id").alias("doc_id"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of near copies, exactly one each, unchanged: the one with the smallest id, and of several with that id the one whose text's hash is least; null ids come last."""
-    key = _free("key", docs)
-    keyed = with_keys(docs, id_col, [text_col], key)
-    groups = near_copies(keyed, key, text_col, shingle, similarity)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key))
-    return keyed.join(first, key, "left_semi").select(*docs.columns)
-
-
-def _free(name: str, docs: DataFrame) -> str:
-    """A column name that ``docs`` doesn't have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY, blocks: int = BLOCKS, width: int = BLOCK, radius: int = RADIUS) -> DataFrame:
     """(doc_id, component_id), one row per row of ``docs``, whose ids are unique and not null; component_id is the smallest doc_id reachable by links between near copies."""
     if radius % 2 or not 0 < width < 64:
@@ -226,26 +166,30 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = int(64 * LONG * share + 2 * math.sqrt(64 * LONG * share * (1 - share)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    marked = materialize(texts.mapInArrow(freeing(_long_fingerprints(shingle, blocks, width)), "id long, wide array<long>, exact array<long>"))
+    marked = hold(texts.mapInArrow(freeing(_long_fingerprints(shingle, blocks, width)), "id long, wide array<long>, exact array<long>"))
     # copies are one row before any variant is made
-    distinct = materialize(marked.groupBy("wide", "exact").agg(F.min("id").alias("fp")))
+    distinct = hold(marked.groupBy("wide", "exact").agg(F.min("id").alias("fp")))
+    n = distinct.count()
     masks = F.array(*[F.lit(m) for m in ball(radius // 2, width)])
     met = []
     for block in range(blocks):  # one after the other, so that their shuffles don't add up on disk
         own = distinct.select("fp", F.col("wide")[block].alias("own"))
-        least = materialize(own.groupBy("own").agg(F.min("fp").alias("least")))
+        # written to few files: a held table would keep its partitioning, and the join no exchange to split
+        least = materialize(own.groupBy("own").agg(F.min("fp").alias("least")), n)
         alike = own.join(least, "own").where("fp > least").select(F.col("least").alias("src"), F.col("fp").alias("dst"))
         variants = least.select("least", "own", F.explode(masks).alias("mask")).select("least", F.col("own").bitwiseXOR(F.col("mask")).alias("variant"))
         beside = variants.selectExpr("least", "lag(least) over (partition by variant order by least) as before", "min(least) over (partition by variant order by least) as first").where("before is not null")
-        near = beside.select(F.explode(F.array_distinct(F.array("before", "first"))).alias("src"), F.col("least").alias("dst")).distinct()
-        met.append(materialize(alike.unionByName(near)))
+        near = beside.select(F.explode(F.array_distinct(F.array("before", "first"))).alias("src"), F.col("least").alias("dst"))
+        met.append(materialize(alike.unionByName(near).distinct(), 3 * n))
+        discard(least)
         release(docs.sparkSession)
     prints = distinct.select("fp", "exact")
     pairs = reduce(DataFrame.unionByName, met).distinct()
     pairs = pairs.join(prints.withColumnsRenamed({"fp": "src", "exact": "a"}), "src").join(prints.withColumnsRenamed({"fp": "dst", "exact": "b"}), "dst")
     differing = sum(F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i])) for i in range(LONG))
     parts = connected_components(pairs.where(differing <= most).select("src", "dst"))
-    classes = materialize(distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("wide", "exact", F.coalesce("component", "fp").alias("component_id")))
+    discard(*met)
+    classes = materialize(distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("wide", "exact", F.coalesce("component", "fp").alias("component_id")), n)
     return marked.join(classes, ["wide", "exact"]).select(F.col("id").alias("doc_id"), "component_id")
 
 

@@ -311,10 +311,10 @@ def _halve(length: int, gram: int, level: int):
     return halve
 
 
-def _repeats(found: DataFrame, keep, more: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """Equal runs (same gram and whole): the spans of all but the first, and the first of each kind with its columns ``more``. ``keep`` makes a table that is read again."""
+def _repeats(found: DataFrame, most_rows: int | None = None, more: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """Equal runs (same gram and whole): the spans of all but the first, and the first of each kind with its columns ``more``."""
     kept = F.min(F.struct("id", "first", *more)).alias("least")
-    least = keep(found.groupBy("gram", "whole").agg(kept, F.max("n").alias("n"), F.count("*").alias("copies")))
+    least = materialize(found.groupBy("gram", "whole").agg(kept, F.max("n").alias("n"), F.count("*").alias("copies")), most_rows)
     later = (
         found.join(least.where("copies > 1").select("gram", "whole", "least.id", "least.first").withColumnsRenamed({"id": "least_id", "first": "least_first"}), ["gram", "whole"])
         .where("id <> least_id or first <> least_first")
@@ -331,32 +331,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     counts = materialize(found.groupBy("gram").count().where("count > 1").select("gram"))
     shared = materialize(found.join(counts.hint("shuffle_hash"), "gram"))
     release(spark)
-    later, kinds = _repeats(shared, materialize)
+    later, kinds = _repeats(shared)
     spans = materialize(later)
     discard(shared)
-    several = hold(kinds.groupBy("gram").count().where("count > 1").select("gram"))  # held, so that both sides of the join have an exchange to split
+    # written, as a held table would keep its partitioning, and the join no exchange to split
+    several = materialize(kinds.groupBy("gram").count().where("count > 1").select("gram"), kinds.count())
     mixed = kinds.join(several, "gram").select("id", F.struct("gram", "first", "n").alias("run"))
     chosen = mixed.groupBy("id").agg(F.collect_list("run").alias("chosen"))
-    texts = materialize(docs.select("id", "bytes").join(chosen, "id").mapInArrow(freeing(_cut(length)), "gram long, id long, first long, n int, bytes binary"))
+    texts = hold(docs.select("id", "bytes").join(chosen, "id").mapInArrow(freeing(_cut(length)), "gram long, id long, first long, n int, bytes binary"))
+    rows = texts.count()
     release(spark)
     dealt, windows, level = [], 0, 0
     while True:
-        # held, not written: a round is a few small tables, and there are four rounds at the most, so lineage stays short
-        sizes = hold(texts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("windows")).where("kinds > 1"))
+        # a round is a few tables of known size, written to few files; there are four rounds at the most
+        sizes = materialize(texts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("windows")).where("kinds > 1"), rows)
         few, many = F.col("kinds") <= group, F.col("kinds") > group
         dealt.append(texts.join(sizes.where(few).select("gram"), "gram"))
-        now, large = sizes.agg(F.sum(F.when(few, F.col("windows"))), F.count_if(many)).first()
+        now, rows = sizes.agg(F.sum(F.when(few, F.col("windows"))), F.sum(F.when(many, F.col("kinds")))).first()
         windows += now or 0
-        if not large:
+        if not rows:
             break
+        rows <<= HALVINGS
         level += HALVINGS  # keys of many runs are dealt by longer ones
-        parts = hold(texts.join(sizes.where(many).select("gram"), "gram").select("id", "first", "n", "bytes").mapInArrow(freeing(_halve(length, gram, level)), f"{_RUN}, bytes binary"))
-        later, kinds = _repeats(parts, hold, ("bytes",))
+        parts = materialize(texts.join(sizes.where(many).select("gram"), "gram").select("id", "first", "n", "bytes").mapInArrow(freeing(_halve(length, gram, level)), f"{_RUN}, bytes binary"), rows)
+        later, kinds = _repeats(parts, rows, ("bytes",))
         spans = spans.unionByName(later)
         texts = kinds.select("gram", "id", "first", "n", "bytes")
     tasks = max(1, -(-windows // TASK))
-    rows = reduce(DataFrame.unionByName, dealt).repartition(tasks, "gram").sortWithinPartitions("id", "first")
-    return spans.unionByName(rows.select("id", "first", "n", "bytes").mapInArrow(freeing(_scan(length)), _SPAN))
+    whole = reduce(DataFrame.unionByName, dealt).repartition(tasks, "gram").sortWithinPartitions("id", "first")
+    return spans.unionByName(whole.select("id", "first", "n", "bytes").mapInArrow(freeing(_scan(length)), _SPAN))
 
 
 def _keep(length: int, with_text: bool, carried: list[str]):
@@ -391,11 +394,9 @@ def _keep(length: int, with_text: bool, carried: list[str]):
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, with_text: bool, carry: list[str]) -> DataFrame:
     """The columns of ``remove_repeats``, the carried ones under private names."""
-    spark = docs.sparkSession
     keyed = unique_ids(docs, id_col, text_col, carry)
     spans = repeated_spans(keyed.select("id", "bytes"), length)
-    per = materialize(spans.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
-    release(spark)
+    per = hold(spans.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
     carried = [f"_carried_{i}" for i in range(len(carry))]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
     schema += "".join(f", {c} {keyed.schema[c].dataType.simpleString()}" for c in carried)
