@@ -419,18 +419,6 @@ def test_exact_windows_survive_a_large_vocabulary():
 # 5
 
 
-def _sentences(text):
-    out = []
-    for s in re.findall(r"[^.!?\n]*(?:[.!?\n]+[ \t\r\x0b\f]*|$)", text):
-        words = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", s)
-        if s.count(" ") < 20 or len(words) <= 20:
-            out += [s] if s else []
-            continue
-        cuts = [0, *(i + 1 for i, w in enumerate(words) if xxhash.xxh64(w.strip(" \t\n\r\x0b\f").encode()).intdigest() % 8 == 0), len(words)]
-        out += [p for a, b in zip(cuts, cuts[1:]) if (p := "".join(words[a:b]))]
-    return out
-
-
 def test_a_passage_pasted_into_a_sentence_is_cut_like_its_first_copy(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
@@ -440,49 +428,6 @@ def test_a_passage_pasted_into_a_sentence_is_cut_like_its_first_copy(spark):
     assert got[1].n_removed == got[3].n_removed == 0 and got[2].n_removed_bytes > 0.4 * len(passage)
 
 
-def _spans(counts):
-    n, found = len(counts), []
-    for i in range(n):
-        found += [(i, j) for j in range(i + 3, n + 1) if sum(counts[i:j]) >= 20][:1]
-    return found or ([(0, n)] if sum(counts) >= 20 else [])
-
-
-def test_spans_are_the_shortest_runs():
-    rng = random.Random(12)
-    for _ in range(300):
-        counts = [rng.choice((1, 2, 5, 9, 30)) for _ in range(rng.randint(0, 14))]
-        assert sentences.spans(counts) == _spans(counts), counts
-
-
-def test_sentence_spans(docs, rows, empty):
-    order = [i for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)) if len(rows[i][1] or "") <= 10_000]
-    seen, want = set(), {}
-    for i in order:
-        text = rows[i][1] or ""
-        parts = _sentences(text)
-        spoken = [k for k, s in enumerate(parts) if s.strip(" \t\n\r\x0b\f.!?")]
-        gone = set()
-        for first, end in _spans([len(WORD.findall(parts[k])) for k in spoken]):
-            run = tuple(w for k in spoken[first:end] for w in WORD.findall(parts[k]))
-            if run in seen:
-                gone |= set(spoken[first:end])
-            seen.add(run)
-        want.setdefault(rows[i][0], []).append((len(spoken), len(gone), "".join(s for k, s in enumerate(parts) if k not in gone)))
-    got = {}
-    for r in sentences.remove_repeats(docs.where("text is null or length(text) <= 10000")).collect():
-        got.setdefault(r.doc_id, []).append((r.n_sentences, r.n_removed, r.text))
-    repeated = rows[-1][0]  # its two texts may come in either order
-    assert {k: sorted(v) for k, v in got.items() if k != repeated} == {k: sorted(v) for k, v in want.items() if k != repeated}
-    assert sum(n for v in got.values() for _, n, _ in v) > 0
-    assert len(sentences.remove_repeats(docs).collect()) == len(rows)
-    assert sentences.remove_repeats(empty).count() == 0
-
-
-def test_sentences_joined_are_the_text():
-    for text in map(lambda t: (t or "").encode(), _texts()):
-        assert b"".join(sentences.split(text)) == text
-
-
 def _pasted(kind, seed):
     """(doc_id, text) of pairs, and per pair the passage: 51 to 60 words, as they are in an even document and pasted inside a sentence, at every offset, in the odd one after it."""
     rng = random.Random(seed)
@@ -502,7 +447,7 @@ def _pasted(kind, seed):
 @pytest.mark.parametrize("kind", ["three sentences", "no stops", "one word"])
 def test_passages_pasted_anywhere_are_found(spark, kind):
     table, passages = _pasted(kind, 21)
-    got = {r.doc_id: r for r in sentences.remove_repeats(spark.createDataFrame(table, "doc_id long, text string"), whole=True).collect()}
+    got = {r.doc_id: r for r in sentences.remove_repeats(spark.createDataFrame(table, "doc_id long, text string")).collect()}
     for k, words in enumerate(passages):
         assert kind == "one word" or got[2 * k].n_removed == 0
         assert len(table[2 * k + 1][1].split()) - len(got[2 * k + 1].text.split()) >= 20, (k, words)
@@ -510,14 +455,25 @@ def test_passages_pasted_anywhere_are_found(spark, kind):
 
 def _anchored(counts):
     """The shortest runs of 20 words from every part, and up to every part."""
-    n, starts, ends = len(counts), {}, {}
-    for i, j in [(i, j) for i in range(n) for j in range(i + 1, n + 1) if sum(counts[i:j]) >= 20]:
-        starts[i], ends[j] = min(j, starts.get(i, j)), max(i, ends.get(j, i))
-    return sorted({*starts.items(), *((i, j) for j, i in ends.items())})
+    found, n = set(), len(counts)
+    for i in range(n):
+        j, words = i, 0
+        while j < n and words < 20:
+            words += counts[j]
+            j += 1
+        if words >= 20:
+            found.add((i, j))
+        j, words = i + 1, 0
+        while j > 0 and words < 20:
+            j -= 1
+            words += counts[j]
+        if words >= 20:
+            found.add((j, i + 1))
+    return sorted(found)
 
 
 def test_runs_from_and_up_to_every_part():
-    texts = [(t or "").encode() for t in _texts() if len(t or "") < 10_000]
+    texts = [(t or "").encode() for t in _texts()]
     parts = sentences.Parts(texts)
     got = sorted((int(i), int(j)) for runs in (parts.from_each(20), parts.up_to_each(20)) for i, j in zip(*runs, strict=True))
     want = []
@@ -527,36 +483,57 @@ def test_runs_from_and_up_to_every_part():
     assert got == sorted(want)
 
 
-def test_whole_sentence_spans(docs, rows, spark, empty):
-    seen, want = set(), {}
-    order = [i for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)) if len(rows[i][1] or "") <= 10_000]
-    for i in order:
-        text = (rows[i][1] or "").encode()
-        parts = sentences.Parts([text])
-        words = re.findall(rb"(?:[^\x20\x09-\x0D.!?]*[.!?]+|[^\x20\x09-\x0D.!?]+)", text)
-        bound, gone = parts.bound.tolist(), set()
-        for first, end in _anchored(np.diff(parts.bound).tolist()):
+def _parts(text):
+    """(words, where a word begins, which words end a part), by the rules and one word at a time."""
+    words = [(m.group(), m.start()) for m in re.finditer(rb"[^\x20\x09-\x0D.!?]*[.!?]+|[^\x20\x09-\x0D.!?]+", text)]
+    ends, since = [], 0
+    for k, (word, at) in enumerate(words):
+        line = k + 1 == len(words) or b"\n" in text[at + len(word) : words[k + 1][1]]
+        natural = line or word[-1:] in b".!?" or (_word_hash(word) % 8 == 0)
+        ends.append(natural or since >= sentences.STRETCH - 1)
+        since = 0 if natural else since + 1
+    return [w for w, _ in words], [at for _, at in words], ends
+
+
+def _word_hash(word):
+    """The first polynomial over a word's bytes, modulo 2**64, mixed."""
+    m, base, total, power = (1 << 64) - 1, sentences._BASES[0], 0, 1
+    for b in word:
+        total = total + (b + 1) * power & m
+        power = power * base & m
+    x = total + len(word) & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def test_sentence_spans(docs, rows, empty):
+    seen, want = set(), Counter()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = lambda r: (r[0] is None, r[0] or 0, signed(xxhash.xxh64((r[1] or "").encode(), seed=42).intdigest()))
+    for r in sorted(rows, key=order):
+        text = (r[1] or "").encode()
+        words, starts, ends = _parts(text)
+        bound = [0, *(k + 1 for k, e in enumerate(ends) if e)]
+        counts, gone = [b - a for a, b in itertools.pairwise(bound)], set()
+        for first, end in _anchored(counts):
             run = tuple(words[bound[first] : bound[end]])
             if run in seen:
                 gone |= set(range(first, end))
             seen.add(run)
-        kept = b"".join(text[: parts.start[0]] if not k else b"" for k in range(min(1, len(bound) - 1))) if len(bound) > 1 else text
-        kept += b"".join(text[parts.start[k] : parts.stop[k]] for k in range(len(bound) - 1) if k not in gone)
-        want.setdefault(rows[i][0], []).append((len(bound) - 1, len(gone), kept.decode()))
-    got = {}
-    for r in sentences.remove_repeats(docs.where("text is null or length(text) <= 10000"), whole=True).collect():
-        got.setdefault(r.doc_id, []).append((r.n_sentences, r.n_removed, r.text))
-    repeated = rows[-1][0]  # its two texts may come in either order
-    assert {k: sorted(v) for k, v in got.items() if k != repeated} == {k: sorted(v) for k, v in want.items() if k != repeated}
-    assert len(sentences.remove_repeats(docs, whole=True).collect()) == len(rows)
-    assert sentences.remove_repeats(empty, whole=True).count() == 0
+        begin = [starts[k] for k in bound[:-1]] + [len(text)]
+        kept = text[: begin[0]] + b"".join(text[begin[k] : begin[k + 1]] for k in range(len(counts)) if k not in gone)
+        want[(r[0], len(counts), len(gone), len(text) - len(kept), kept.decode())] += 1
+    assert Counter(map(tuple, sentences.remove_repeats(docs).collect())) == want
+    assert sum(k[2] for k in want) > 0
+    assert sentences.remove_repeats(empty).count() == 0
 
 
 def test_a_copy_keeps_no_last_words(spark):
     rng = random.Random(31)
     texts = [_words(rng, rng.randint(50, 90)) for _ in range(60)]
     table = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string")
-    got = sentences.remove_repeats(table, whole=True).collect()
+    got = sentences.remove_repeats(table).collect()
     assert {r.text.strip() for r in got if r.doc_id >= 60} == {""} and all(r.n_removed == 0 for r in got if r.doc_id < 60)
 
 

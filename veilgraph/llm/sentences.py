@@ -1,92 +1,43 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences (to ``.``, ``!``, ``?`` or a line's end); one of more than ``LONG`` words, as where a passage was pasted into another
-sentence, is cut further after words that a hash picks, one in ``CUT``, so that copies are cut alike whatever stands before them. From every sentence on, the shortest run of at least ``SPAN`` consecutive sentences that has ``MIN_WORDS`` words is hashed to 128 bits over
-its words, so white space between them doesn't matter, and many short sentences are caught as
-well as few long ones. Runs are joined over all documents, and the sentences that any non-first
-occurrence covers are removed, the first being the one of the smallest id, then the earliest. A text with fewer sentences
-is one run, if it has the words.
+A text is cut into sentences (to ``.``, ``!``, ``?`` or a line's end), and a sentence further after words that a hash picks, one in ``CUT``, whatever its
+length; after ``STRETCH`` words without a cut, after every word until the next one. So cuts don't depend on what stands around a passage: from its
+``STRETCH``-th word on, and up to its last cut, all copies are cut alike, also where it was pasted inside a sentence.
 
-A run that many documents share is one row per map task before the shuffle; occurrences are marked by a join
-with the first ones, whose large partitions adaptive execution can split.
+Runs of consecutive parts are hashed to 128 bits over their words, so white space between them doesn't matter. From every part on, the shortest
+run that has ``MIN_WORDS`` words is hashed, and up to every part, the shortest that ends with it; longer runs that repeat are covered by these. Any
+2 * STRETCH + MIN_WORDS - 1 words that repeat hold a run that does. Repeated runs under ``MIN_WORDS`` words stay: the number is a
+parameter, and one sentence of a few words that many texts have in common is no copied passage.
+
+Runs are joined over all documents, and the parts that any non-first occurrence covers are removed, the first being the one of the
+smallest id, then the earliest. Of the runs up to a part, only those are hashed from parts whose own shortest run is met more than once, as that run lies within the
+other and repeats if it does. A run that many documents share is one row per map task before the shuffle; occurrences are marked by a join
+with the first ones, whose large partitions adaptive execution can split. Runs are hashed in numpy, by two polynomials over the words' own hashes.
 
 Cases: a null text is empty; a very long text is cut by itself; rows with one id are ordered by their text's hash, null ids last; an empty
 table gives an empty result; extra columns are ignored.
-
-With ``whole``, as the query has it, cuts don't depend on what stands around a passage: every sentence is cut at hashed words whatever its length,
-and after ``STRETCH`` words without a cut, after every word until the next one. From the ``STRETCH``-th word of a passage on, and up to
-its last cut, all copies are cut alike, and runs are accepted by words alone; so any 51 words that repeat hold a run that does.
-The shortest runs up to every part follow, so that the last parts of a repeated passage are in one, too; only those from parts whose
-own shortest run is met more than once, as that run lies within the other and repeats if it does.
-Runs are hashed in numpy, by two polynomials over the words' own hashes.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgraph.llm.rows import unique_ids
 from veilgraph.plans.workspace import bounded_batches, discard, freeing, materialize, release
 
-SPAN, MIN_WORDS = 3, 20
-LONG, CUT = 20, 8
-#: Words without a cut after which every word ends a part, in whole mode; 2 * STRETCH + MIN_WORDS - 1 words that repeat are enough to be found.
+MIN_WORDS, CUT = 20, 8
+#: Words without a cut after which every word ends a part; 2 * STRETCH + MIN_WORDS - 1 words that repeat are enough to be found.
 STRETCH = 15
 #: Bytes of text that are hashed at once, and parts of the runs that are joined one after the other, so that their shuffles don't add up on disk.
 PIECE, PARTS = 1 << 20, 2
 _RUN, _RESULT = "high long, low long, id long, at long", "doc_id long, n_sentences long, n_removed long, n_removed_bytes long, text string"
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple] = {}
-_SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?\n]+[ \t\r\x0b\f]*|$)")
-_WORD = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-
-
-def split(text: bytes) -> list[bytes]:
-    """Sentences, and parts of long ones, with what ends them; joined, they are the text."""
-    out = []
-    for sentence in _SENTENCE.findall(text):
-        if sentence.count(b" ") < LONG or len(words := _WORD.findall(sentence)) <= LONG:
-            if sentence:
-                out.append(sentence)
-            continue
-        held = []
-        for word in words:
-            held.append(word)
-            if xxhash.xxh64_intdigest(word.strip()) % CUT == 0:
-                out.append(b"".join(held))
-                held = []
-        if held:
-            out.append(b"".join(held))
-    return out
-
-
-def _spoken(sentences: list[bytes]) -> list[int]:
-    """Numbers of the sentences that have words."""
-    return [i for i, s in enumerate(sentences) if s.strip(b" \t\n\r\x0b\f.!?")]
-
-
-def spans(counts: list[int], span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(first, end) of the runs of sentences that have so many words each."""
-    n, upto = len(counts), [0, *accumulate(counts)]
-    if upto[-1] < min_words or not n:
-        return []
-    found, end = [], 0
-    for i in range(n):
-        end = max(end, i + span)
-        while end <= n and upto[end] - upto[i] < min_words:
-            end += 1
-        if end > n:
-            break
-        found.append((i, end))
-    return found or [(0, n)]
 
 
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +129,7 @@ def _pieces(batch):
         yield rows, texts
 
 
-def _whole_runs(min_words: int):
+def _runs(min_words: int):
     def runs(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -189,7 +140,7 @@ def _whole_runs(min_words: int):
     return runs
 
 
-def _whole_ends(min_words: int):
+def _ends(min_words: int):
     def ends(batches):
         for batch in batches:
             ids, starts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
@@ -204,7 +155,7 @@ def _whole_ends(min_words: int):
     return ends
 
 
-def _whole_cut(batches):
+def _cut(batches):
     for batch in batches:
         own, covered = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for held, texts in _pieces(batch):
@@ -225,39 +176,6 @@ def _whole_cut(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_sentences", "n_removed", "n_removed_bytes", "text"])
 
 
-def _runs(span: int, min_words: int):
-    def runs(batches):
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sentences = split(text or b"")
-                words = [sentences[k].split() for k in _spoken(sentences)]
-                for first, end in spans(list(map(len, words)), span, min_words):
-                    digest = xxhash.xxh3_128_intdigest(b" ".join([w for s in words[first:end] for w in s]))
-                    for column, value in zip(out, ((digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63), i, first << 31 | end - first), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["high", "low", "id", "at"])
-
-    return runs
-
-
-def _cut():
-    def cut(batches):
-        for batch in batches:
-            rows = []
-            for i, text, covered in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                sentences = split(text or b"")
-                spoken = _spoken(sentences)
-                gone = {spoken[k] for at in covered or () for k in range(at >> 31, (at >> 31) + (at & (1 << 31) - 1))}
-                kept = b"".join(s for k, s in enumerate(sentences) if k not in gone)
-                rows.append((i, len(spoken), len(gone), len(text or b"") - len(kept), kept.decode("utf-8", "replace")))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_sentences", "n_removed", "n_removed_bytes", "text"])
-
-    return cut
-
-
 def _met(runs: DataFrame, parts: int = PARTS) -> DataFrame:
     """(id, at, later) of the runs that are met more than once; ``later`` for all but the first of each."""
     out = []
@@ -272,35 +190,20 @@ def _met(runs: DataFrame, parts: int = PARTS) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def _remove_whole(keyed: DataFrame, min_words: int) -> DataFrame:
-    spark = keyed.sparkSession
-    runs = materialize(keyed.select("id", "bytes").mapInArrow(freeing(_whole_runs(min_words)), _RUN))
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, n_sentences, n_removed, n_removed_bytes, text) for every row of ``docs``; the numbers are of parts, text is what is left."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    keyed = unique_ids(docs, id_col, text_col)
+    runs = materialize(keyed.select("id", "bytes").mapInArrow(freeing(_runs(min_words)), _RUN))
     met = _met(runs)
     discard(runs)
     starts = met.groupBy("id").agg(F.collect_list(F.shiftright("at", 31)).alias("starts"))
-    ends = materialize(keyed.select("id", "bytes").join(starts, "id").mapInArrow(freeing(_whole_ends(min_words)), _RUN))
+    ends = materialize(keyed.select("id", "bytes").join(starts, "id").mapInArrow(freeing(_ends(min_words)), _RUN))
     release(spark)
     met_ends = _met(ends, 1)
     discard(ends)
     covered = materialize(met.unionByName(met_ends).where("later").groupBy("id").agg(F.collect_list("at").alias("covered")))
     discard(met, met_ends)
     release(spark)
-    return keyed.join(covered, "id", "left").select("own", "bytes", "covered").mapInArrow(freeing(_whole_cut), _RESULT)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
-    """(doc_id, n_sentences, n_removed, n_removed_bytes, text) for every row of ``docs``; text is what is left."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    keyed = unique_ids(docs, id_col, text_col)
-    if whole:
-        return _remove_whole(keyed, min_words)
-    base = keyed.select("id", "bytes")
-    runs = materialize(base.mapInArrow(freeing(_runs(span, min_words)), _RUN))
-    first = materialize(runs.groupBy("high", "low").agg(F.min(F.struct("id", "at")).alias("least"), F.count("*").alias("n")).where("n > 1").select("high", "low", "least"))
-    release(spark)
-    later = runs.join(first, ["high", "low"]).where((F.col("id") != F.col("least.id")) | (F.col("at") != F.col("least.at")))
-    covered = materialize(later.groupBy("id").agg(F.collect_list("at").alias("covered")))
-    discard(runs, first)
-    release(spark)
-    return keyed.join(covered, "id", "left").select("own", "bytes", "covered").mapInArrow(freeing(_cut()), _RESULT)
+    return keyed.join(covered, "id", "left").select("own", "bytes", "covered").mapInArrow(freeing(_cut), _RESULT)
