@@ -176,7 +176,7 @@ SELECT id, count(*) AS deg FROM (SELECT src AS id FROM e UNION ALL SELECT dst FR
 
 _U = "(('0x' || substr(md5('{0}'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE"
 SQL["generated_communities"] = _with(
-    f"sizes AS (SELECT range AS c, least(floor(10.0::DOUBLE * pow(1 - {_U.format("3:size:' || range || '")}, -1.0::DOUBLE / 1.5))::BIGINT, 500) AS size FROM range(50))",
+    f"sizes AS (SELECT range AS c, least(floor(10.0::DOUBLE * pow(1 - {_U.format("3:size:' || range || '")}, -1.0::DOUBLE / 1.5))::BIGINT, 100) AS size FROM range(50))",
     "placed AS (SELECT c, sum(size) OVER (ORDER BY c) - size AS low, least(sum(size) OVER (ORDER BY c), 500) AS upto FROM sizes)",
     "nodes AS MATERIALIZED (SELECT r.range AS id, c FROM placed JOIN range(500) r ON r.range >= low AND r.range < upto)",
     f"deg AS (SELECT id, c, floor(least(greatest(1.0::DOUBLE, 2.0::DOUBLE * pow(1 - {_U.format("3:degree:' || id || '")}, -1.0::DOUBLE / 1.5)), 2 * sqrt(500.0::DOUBLE)))::BIGINT AS d FROM nodes)",

@@ -86,12 +86,12 @@ def _attached(edges: DataFrame, m: int, seed: int) -> DataFrame:
 
 
 def planted_communities(spark: SparkSession, n: int, mean_degree: float, mixing: float, degree_power: float = 2.5, size_power: float = 1.5, min_size: int = 10, seed: int = 0) -> Graph:
-    """Communities of power-law sizes and nodes of power-law degrees; a part ``mixing`` of a node's stubs leaves its community.
+    """Communities of power-law sizes, a fifth of the nodes at most, and nodes of power-law degrees; a part ``mixing`` of a node's stubs leaves its community.
 
     Stubs are matched at random inside the community or over all; loops and repeats go. Nodes carry ``community``. Sizes and degrees are hashes, so tables make all of it.
     """
     power = lambda low, u, exponent: F.lit(float(low)) * F.pow(1 - u, F.lit(-1.0 / exponent))
-    drawn = spark.range(-(-n // min_size)).select(F.col("id").alias("community"), F.least(F.floor(power(min_size, hashrand.uniform(f"{seed}:size", "id"), size_power)), F.lit(n)).cast("long").alias("size"))
+    drawn = spark.range(-(-n // min_size)).select(F.col("id").alias("community"), F.least(F.floor(power(min_size, hashrand.uniform(f"{seed}:size", "id"), size_power)), F.lit(max(min_size, n // 5))).cast("long").alias("size"))
     placed = running_sums(drawn, "community", ["size"]).select("community", (F.col("cum_size") - F.col("size")).alias("first"), F.least("cum_size", F.lit(n)).alias("upto")).where(F.col("first") < n)
     nodes = placed.select("community", F.explode(F.sequence(F.col("first"), F.col("upto") - 1)).alias("id"))
     low = mean_degree * (degree_power - 2) / (degree_power - 1)
