@@ -396,7 +396,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, length: int, with_text:
     """The columns of ``remove_repeats``, the carried ones under private names."""
     keyed = unique_ids(docs, id_col, text_col, carry)
     spans = repeated_spans(keyed.select("id", "bytes"), length)
-    per = hold(spans.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("spans")))
+    per = materialize(spans.groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("spans")), keyed.count())
+    release(docs.sparkSession)
     carried = [f"_carried_{i}" for i in range(len(carry))]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
     schema += "".join(f", {c} {keyed.schema[c].dataType.simpleString()}" for c in carried)
