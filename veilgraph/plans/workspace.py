@@ -40,8 +40,8 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-#: Rows of a narrow table that one file should hold.
-FILE_ROWS = 500_000
+#: Rows of a small table that one file should hold, and so one task write.
+FILE_ROWS = 1 << 16
 
 
 def materialize(df: DataFrame, most_rows: int | None = None) -> DataFrame:
