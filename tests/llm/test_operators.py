@@ -162,6 +162,23 @@ def test_near_copies_of_one_group_are_linear(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 400
 
 
+def test_near_copies_lose_no_pair_of_the_similarity(spark):
+    rng = random.Random(11)
+    table = [(i, t or "") for i, (_, t) in enumerate(_near_table(random.Random(6)))]
+    for length in (5, 9, 14, 30, 60, 200):  # pairs at the similarity, and just below it
+        for _ in range(12):
+            words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(length)]
+            gone = rng.randint(0, length // 5)
+            table += [(len(table), " ".join(words)), (len(table) + 1, " ".join(words[gone:]).upper())]
+    often = ["again"] * 1000  # one shingle makes the fingerprint, the others the set
+    for own in ("b", "c"):
+        table.append((len(table), " ".join(often + [f"{own}{i}" for i in range(300)])))
+    got = simhash.near_copies(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    texts = [t for _, t in table]
+    want = _components([i for i, _ in table], lambda i, j: _jaccard(texts[i], texts[j]) >= 0.8)
+    assert sorted(map(tuple, got)) == list(zip(range(len(table)), want, strict=True))
+
+
 def test_simhash_links_are_those_within_the_radius(spark):
     rng = random.Random(3)
     prints = {0, (1 << 64) - 1}

@@ -12,13 +12,15 @@ For an even radius all members of a variant's group are within the radius of one
 chain through the sorted group (each member with the one before it) has the same components as all
 pairs, and a verified chain loses no component.
 
-``near_copies`` is for word shingles of any length and a similarity. 64 bits and a radius of 2 find copies that are almost equal only, so
+``near_copies`` is for word shingles of any length and a Jaccard similarity of their sets; its links are exactly the pairs of that similarity. Texts with one
+set of shingles are one. 64 bits and a radius of 2 find copies that are almost equal only, so
 it emits the balls of several blocks of ``BLOCK`` bits, of a long fingerprint of two-word shingles: near copies agree in some block to within
-the radius though they differ in many bits of the whole. What meets is verified by another long fingerprint, of the shingles asked for: the
-share of its bits that differ is the angle between two texts' shingles, and a Jaccard similarity of s for sets of one size is a
-cosine of 2s / (1 + s). Two standard deviations of that share are allowed on top, so that hardly a pair of that similarity is lost to chance; some a little below it link, too. Of the texts with one value of a block, the one with the smallest id stands for all in the ball's variants, so a variant's
-group is bounded here too; each is verified with the one that stands for it, and those that meet in a variant with the one before and the
-first. So work is linear in the rows whatever the size of a group; the components are of the verified links.
+the radius though they differ in many bits of the whole. Of the texts with one value of a block, the one with the smallest id stands for all in the ball's variants, so a variant's
+group is bounded here too; each meets the one that stands for it, and those that meet in a variant the one before and the
+first. What meets and is near in another long fingerprint, of the shingles asked for, is verified by the sets themselves.
+Fingerprints leave some pairs out. These are found by prefixes: in one order of all shingles, rare ones first, two sets of a similarity s share one of the first
+n - ceil(s n) + 1 of their n, whatever the order (Chaudhuri et al., 2006). Prefixes that share a shingle across components found so far are verified alike, so a large group of near copies,
+one component by then, is not compared with itself. How rare a shingle is comes from counters of all rows' shingles; it bears on the work only.
 
 Cases: a null text is empty; a text without words has fingerprint zero and links like any other;
 fewer words than a shingle give one shingle of the whole sequence; repeated rows each
@@ -29,10 +31,12 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,6 +51,10 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 NEAR, SIMILARITY, BLOCK, BLOCKS, LONG = 5, 0.8, 32, 8, 8
 #: Words of the shingles behind the blocks: one changed word changes as many shingles, and fewer changed shingles are fewer differing bits.
 WIDE = 2
+#: Counters of shingles, by the last bits of their hash, and how many of them a row holds.
+COUNTERS, COUNTED = 1 << 20, 1 << 14
+#: Ids that are sent to all executors.
+FEW = 1 << 18
 #: Shingles whose bits are unpacked at once.
 _BLOCK = 1 << 15
 
@@ -107,19 +115,131 @@ def _numbers(bits: np.ndarray, width: int) -> np.ndarray:
     return (bits.reshape(len(bits), -1, width).astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
 
 
-def _long_fingerprints(shingle: int, blocks: int, width: int):
-    def fingerprints(batches):
+def _hashes(text: bytes | None) -> np.ndarray:
+    words = (text or b"").lower().split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
+    """The hashes of a text's different shingles, ascending; fewer words than a shingle are one, none are none."""
+    shingle = min(shingle, len(words))
+    if not shingle:
+        return np.zeros(0, np.uint64)
+    n = len(words) - shingle + 1
+    return np.unique(_mixed(sum(words[k : k + n] * _ODD[k % 128] for k in range(shingle))))
+
+
+MARKS = "id long, key binary, wide array<long>, exact array<long>, part int, counts binary"
+
+
+def _marks(shingle: int, blocks: int, width: int):
+    """A row for each text, with a digest of its set and its fingerprints; at the end of a task rows without id, with counters of the texts' shingles."""
+
+    def marks(batches):
+        counts, names = np.zeros(COUNTERS, np.int64), [f.split()[0] for f in MARKS.split(", ")]
         for batch in batches:
             wide, exact = np.zeros((batch.num_rows, blocks * width), bool), np.zeros((batch.num_rows, 64 * LONG), bool)
+            keys, sets = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                words = (text or b"").lower().split()
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                hashes = _hashes(text)
                 wide[i] = long_fingerprint(hashes, WIDE, -(-blocks * width // 64))[: blocks * width]
                 exact[i] = long_fingerprint(hashes, shingle)
-            columns = (pa.array(list(_numbers(x, w)), pa.list_(pa.int64())) for x, w in ((wide, width), (exact, 64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "wide", "exact"])
+                sets.append(shingle_set(hashes, shingle))
+                keys.append(xxhash.xxh3_128_digest(sets[-1].tobytes()))
+            if sets:
+                counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            prints = (pa.array(list(_numbers(x, w)), pa.list_(pa.int64())) for x, w in ((wide, width), (exact, 64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *prints, pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], names=names)
+        parts = [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(counts.reshape(-1, COUNTED)) if part.any()]
+        empty = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=names)
+
+    return marks
+
+
+def _counted(marked: DataFrame) -> np.ndarray:
+    """All tasks' counters summed, a part of them in a task."""
 
-    return fingerprints
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(COUNTED, np.int64)
+        for part in frame["counts"]:
+            total += np.frombuffer(zlib.decompress(part), np.int64)
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [total.tobytes()]})
+
+    counts = np.zeros((COUNTERS // COUNTED, COUNTED), np.int64)
+    for row in marked.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect():
+        counts[row.part] = np.frombuffer(row.counts, np.int64)
+    return counts.ravel()
+
+
+def _prefixes(shingle: int, similarity: float, counts):
+    """(token, fp, size, label) of texts (fp, label, text): the shingles of which a set of that similarity has one among its own."""
+
+    def prefixes(batches):
+        for batch in batches:
+            tokens, sizes, places = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                own = shingle_set(_hashes(text), shingle)
+                most = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
+                order = np.lexsort((own, counts.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:most]
+                tokens.append(own[order].view(np.int64))
+                sizes.append(np.full(len(order), len(own), np.int32))
+                places.append(np.full(len(order), i, np.int64))
+            if tokens:
+                at = pa.array(np.concatenate(places))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), batch.column(0).take(at), pa.array(np.concatenate(sizes)), batch.column(1).take(at)], names=["token", "fp", "size", "label"])
+
+    return prefixes
+
+
+def _sets(shingle: int):
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(_hashes(text), shingle).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["fp", "set"])
+
+    return sets
+
+
+def _similar(similarity: float):
+    """(src, dst) of rows (src, dst, a, b) whose sets a and b have that similarity."""
+
+    def similar(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and both / (len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return similar
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(src, dst): labels of the rows (x, y, src, dst) of ``pairs`` whose texts x and y have that similarity."""
+    ends = materialize(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
+    if ends.count() <= FEW:  # no shuffle of all texts for these
+        ends = F.broadcast(ends)
+    sets = materialize(texts.join(ends, "id", "left_semi").select("id", "text").mapInArrow(freeing(_sets(shingle)), "fp long, set binary"))
+    met = pairs.join(sets.withColumnsRenamed({"fp": "x", "set": "a"}), "x").join(sets.withColumnsRenamed({"fp": "y", "set": "b"}), "y")
+    out = materialize(met.select("src", "dst", "a", "b").mapInArrow(freeing(_similar(similarity)), "src long, dst long").distinct())
+    discard(sets, ends)
+    return out
+
+
+def _across(rows: DataFrame, similarity: float) -> DataFrame:
+    """(x, y, src, dst): texts that share a token (token, fp, size, label) across labels, and their labels. One of the two is outside its token's largest label, so a token of one label and few others gives few pairs."""
+    marked = rows.selectExpr("*", "min(label) over (partition by token) as low", "max(label) over (partition by token) as high")
+    shared = materialize(marked.where("low < high").drop("low", "high"))  # one shuffle; few rows stay
+    main = shared.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    placed = materialize(shared.join(main, "token"))
+    few = placed.where("label <> main").select("token", F.col("fp").alias("x"), F.col("size").alias("sx"), F.col("label").alias("src"))
+    met = few.join(placed.select("token", "main", F.col("fp").alias("y"), F.col("size").alias("sy"), F.col("label").alias("dst")), "token")
+    met = met.where("src <> dst and (dst = main or x < y)").where(F.least("sx", "sy") >= similarity * F.greatest("sx", "sy") - 1e-9)
+    pairs = materialize(met.select("x", "y", "src", "dst").distinct())
+    discard(shared, placed)
+    return pairs
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,16 +279,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR, similarity: float = SIMILARITY, blocks: int = BLOCKS, width: int = BLOCK, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, component_id), one row per row of ``docs``, whose ids are unique and not null; component_id is the smallest doc_id reachable by links between near copies."""
+    """(doc_id, component_id), one row per row of ``docs``, whose ids are unique and not null; component_id is the smallest doc_id reachable by links between texts of that similarity."""
     if radius % 2 or not 0 < width < 64:
         raise ValueError("blocks of up to 63 bits, and an even radius")
-    bounded_batches(docs.sparkSession)
+    if not 0 < similarity <= 1:
+        raise ValueError("a similarity above 0, of 1 at most")
+    spark = docs.sparkSession
+    bounded_batches(spark)
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = int(64 * LONG * share + 2 * math.sqrt(64 * LONG * share * (1 - share)))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    marked = hold(texts.mapInArrow(freeing(_long_fingerprints(shingle, blocks, width)), "id long, wide array<long>, exact array<long>"))
-    # copies are one row before any variant is made
-    distinct = hold(marked.groupBy("wide", "exact").agg(F.min("id").alias("fp")))
+    marked = hold(texts.mapInArrow(freeing(_marks(shingle, blocks, width)), MARKS))
+    rows = marked.where("id is not null").select("id", "key", "wide", "exact")
+    # texts of one set are one row before any variant is made
+    distinct = hold(rows.groupBy("key").agg(F.min(F.struct("id", "wide", "exact")).alias("least")).select("key", F.col("least.id").alias("fp"), "least.wide", "least.exact"))
     n = distinct.count()
     masks = F.array(*[F.lit(m) for m in ball(radius // 2, width)])
     met = []
@@ -182,15 +306,28 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         near = beside.select(F.explode(F.array_distinct(F.array("before", "first"))).alias("src"), F.col("least").alias("dst"))
         met.append(materialize(alike.unionByName(near).distinct(), 3 * n))
         discard(least)
-        release(docs.sparkSession)
+        release(spark)
     prints = distinct.select("fp", "exact")
     pairs = reduce(DataFrame.unionByName, met).distinct()
     pairs = pairs.join(prints.withColumnsRenamed({"fp": "src", "exact": "a"}), "src").join(prints.withColumnsRenamed({"fp": "dst", "exact": "b"}), "dst")
     differing = sum(F.bit_count(F.col("a")[i].bitwiseXOR(F.col("b")[i])) for i in range(LONG))
-    parts = connected_components(pairs.where(differing <= most).select("src", "dst"))
+    near = materialize(pairs.where(differing <= most).select(F.col("src").alias("x"), F.col("dst").alias("y"), "src", "dst"), 3 * n)
     discard(*met)
-    classes = materialize(distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("wide", "exact", F.coalesce("component", "fp").alias("component_id")), n)
-    return marked.join(classes, ["wide", "exact"]).select(F.col("id").alias("doc_id"), "component_id")
+    links = _verified(near, texts, shingle, similarity)
+    labels = materialize(distinct.select("fp").join(connected_components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("label")), n)
+    discard(near, links)
+    # what the fingerprints left out
+    counts = spark.sparkContext.broadcast(_counted(marked))
+    first = texts.join(labels, texts["id"] == labels["fp"]).select("fp", "label", "text")
+    tokens = first.mapInArrow(freeing(_prefixes(shingle, similarity, counts)), "token long, fp long, size int, label long")
+    release(spark)
+    across = _across(tokens, similarity)
+    release(spark)
+    links = _verified(across, texts, shingle, similarity)
+    discard(across)
+    parts = labels.join(connected_components(links).withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("component", "label").alias("component_id"))
+    classes = materialize(distinct.select("key", "fp").join(parts, "fp").select("key", "component_id"), n)
+    return rows.join(classes, "key").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def _kept(docs: DataFrame, id_col: str, text_col: str, grouped) -> DataFrame:
