@@ -505,3 +505,19 @@ def test_closeness_of_all_nodes_follows_from_cores(spark):
     cores = centrality.Cores(g)
     assert len(cores.nodes) < 400 and sum(high - low for _, _, _, low, high in cores.units()) < len(cores.nodes)
     assert not len(centrality._whole_closeness(spark, centrality.Arrays(*[np.zeros(0, np.int64)] * 3)))
+
+
+def test_k_degree_realisation_grows_with_the_edges():
+    import time
+
+    rng = np.random.default_rng(8)
+    adjacency = [set() for _ in range(40_000)]
+    for u, v in rng.integers(0, 40_000, (80_000, 2)).tolist():
+        if u != v:
+            adjacency[u].add(v)
+            adjacency[v].add(u)
+    goal = np.array([len(a) + len(a) % 2 for a in adjacency])
+    start = time.process_time()
+    edges = kdegree.realise(goal, adjacency, rng)  # some seconds; minutes when all nodes are sorted for each
+    assert time.process_time() - start < 30
+    assert np.array_equal(np.bincount(np.array(sorted(edges)).ravel(), minlength=40_000), goal)
