@@ -162,6 +162,17 @@ def test_near_copies_of_one_group_are_linear(spark):
     assert {r.component_id for r in got} == {0} and len(got) == 400
 
 
+def test_copies_changed_too_much_do_not_meet_their_group(spark):
+    """60 texts of one component and 60 others have 80 of 100 shingles each from one passage; the others have 20 of their own, which are rarer, before it. Two share enough."""
+    rows = []
+    for i in range(60):
+        rows += [(token, i, 100, 0, token) for token in range(20)]
+        rows += [(1000 * (i + 1) + at, 100 + i, 100, 100 + i, at) for at in range(15)] + [(token, 100 + i, 100, 100 + i, 15 + token) for token in range(5)]
+    rows += [(900_000, 7, 100, 0, 20), (900_000, 300, 92, 300, 3), (900_001, 301, 80, 301, 0), (900_001, 8, 100, 0, 0), (900_002, 302, 79, 302, 0), (900_002, 9, 100, 0, 0)]
+    got = simhash._across(spark.createDataFrame(rows, "token long, fp long, size int, label long, at int"), 0.8).collect()
+    assert [{r.x, r.y} for r in got] == [{301, 8}]
+
+
 def test_near_copies_lose_no_pair_of_the_similarity(spark):
     rng = random.Random(11)
     table = [(i, t or "") for i, (_, t) in enumerate(_near_table(random.Random(6)))]

@@ -20,7 +20,9 @@ group is bounded here too; each meets the one that stands for it, and those that
 first. What meets and is near in another long fingerprint, of the shingles asked for, is verified by the sets themselves.
 Fingerprints leave some pairs out. These are found by prefixes: in one order of all shingles, rare ones first, two sets of a similarity s share one of the first
 n - ceil(s n) + 1 of their n, whatever the order (Chaudhuri et al., 2006). Prefixes that share a shingle across components found so far are verified alike, so a large group of near copies,
-one component by then, is not compared with itself. How rare a shingle is comes from counters of all rows' shingles; it bears on the work only.
+one component by then, is not compared with itself. The first shingle that two sets share leaves what comes after it to share at most, which has to be enough (Xiao et al., 2008); texts meet by
+the shingle and by sizes for which it is, so copies that changed too much, whose own shingles come first, don't meet their group. Before that all meet, for each shingle, the text that has the fewest rarer ones,
+so that what belongs to a large group is in its component by then. How rare a shingle is comes from counters of all rows' shingles; it bears on the work only.
 
 Cases: a null text is empty; a text without words has fingerprint zero and links like any other;
 fewer words than a shingle give one shingle of the whole sequence; repeated rows each
@@ -53,6 +55,8 @@ NEAR, SIMILARITY, BLOCK, BLOCKS, LONG = 5, 0.8, 32, 8, 8
 WIDE = 2
 #: Counters of shingles, by the last bits of their hash, and how many of them a row holds.
 COUNTERS, COUNTED = 1 << 20, 1 << 14
+#: Steps of sizes, between one and the smallest that a set may have to be similar to it.
+STEPS = 4
 #: Ids that are sent to all executors.
 FEW = 1 << 18
 #: Shingles whose bits are unpacked at once.
@@ -173,11 +177,11 @@ def _counted(marked: DataFrame) -> np.ndarray:
 
 
 def _prefixes(shingle: int, similarity: float, counts):
-    """(token, fp, size, label) of texts (fp, label, text): the shingles of which a set of that similarity has one among its own."""
+    """(token, fp, size, label, at) of texts (fp, label, text): the shingles of which a set of that similarity has one among its own, and their places in the order, from 0."""
 
     def prefixes(batches):
         for batch in batches:
-            tokens, sizes, places = [], [], []
+            tokens, sizes, places, at = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 own = shingle_set(_hashes(text), shingle)
                 most = len(own) - math.ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
@@ -185,9 +189,11 @@ def _prefixes(shingle: int, similarity: float, counts):
                 tokens.append(own[order].view(np.int64))
                 sizes.append(np.full(len(order), len(own), np.int32))
                 places.append(np.full(len(order), i, np.int64))
+                at.append(np.arange(len(order), dtype=np.int32))
             if tokens:
-                at = pa.array(np.concatenate(places))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), batch.column(0).take(at), pa.array(np.concatenate(sizes)), batch.column(1).take(at)], names=["token", "fp", "size", "label"])
+                of = pa.array(np.concatenate(places))
+                columns = [pa.array(np.concatenate(tokens)), batch.column(0).take(of), pa.array(np.concatenate(sizes)), batch.column(1).take(of), pa.array(np.concatenate(at))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "fp", "size", "label", "at"])
 
     return prefixes
 
@@ -228,17 +234,64 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return out
 
 
-def _across(rows: DataFrame, similarity: float) -> DataFrame:
-    """(x, y, src, dst): texts that share a token (token, fp, size, label) across labels, and their labels. One of the two is outside its token's largest label, so a token of one label and few others gives few pairs."""
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows (token, fp, size, label, at) of tokens that more than one label has."""
     marked = rows.selectExpr("*", "min(label) over (partition by token) as low", "max(label) over (partition by token) as high")
-    shared = materialize(marked.where("low < high").drop("low", "high"))  # one shuffle; few rows stay
-    main = shared.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    placed = materialize(shared.join(main, "token"))
-    few = placed.where("label <> main").select("token", F.col("fp").alias("x"), F.col("size").alias("sx"), F.col("label").alias("src"))
-    met = few.join(placed.select("token", "main", F.col("fp").alias("y"), F.col("size").alias("sy"), F.col("label").alias("dst")), "token")
-    met = met.where("src <> dst and (dst = main or x < y)").where(F.least("sx", "sy") >= similarity * F.greatest("sx", "sy") - 1e-9)
+    return materialize(marked.where("low < high").drop("low", "high"))  # one shuffle; few rows stay
+
+
+def _largest(shared: DataFrame) -> DataFrame:
+    """(token, main): each token's largest label."""
+    return shared.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+
+
+def _may(similarity: float):
+    """Whether x and y, of ``sx`` and ``sy`` tokens, of which ``ax`` and ``ay`` come before one that both have, may have that similarity if it is the first."""
+    slack = 1e-6
+    both = similarity / (1 + similarity) * (F.col("sx") + F.col("sy")) - slack  # two similar sets share so many at least
+    return (F.least("sx", "sy") >= similarity * F.greatest("sx", "sy") - slack) & (F.col("sx") - F.col("ax") >= both) & (F.col("sy") - F.col("ay") >= both)
+
+
+def _renamed(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """``rows`` with the labels that theirs are joined into (label, after)."""
+    return rows.join(joined, "label", "left").withColumn("label", F.coalesce("after", "label")).drop("after")
+
+
+def _to_centres(shared: DataFrame, similarity: float) -> DataFrame:
+    """Some of the pairs of ``_across``, at most one for each row: with the text of the token's largest label that has the fewest tokens before it. It finds most of a group's texts, which need not meet the whole group then."""
+    main = materialize(_largest(shared))
+    centre = shared.join(main, "token").where("label = main").groupBy("token").agg(F.min(F.struct("at", "size", "fp", "label")).alias("c"))
+    centre = materialize(centre.select("token", F.col("c.fp").alias("y"), F.col("c.size").alias("sy"), F.col("c.at").alias("ay"), F.col("c.label").alias("dst")))
+    met = shared.withColumnsRenamed({"fp": "x", "size": "sx", "at": "ax", "label": "src"}).join(centre, "token").where("src <> dst").where(_may(similarity))
     pairs = materialize(met.select("x", "y", "src", "dst").distinct())
-    discard(shared, placed)
+    discard(main, centre)
+    return pairs
+
+
+def _across(shared: DataFrame, similarity: float) -> DataFrame:
+    """(x, y, src, dst): texts that may have that similarity across labels, by the tokens (token, fp, size, label, at) that they share, and their labels.
+
+    One of the two is outside its token's largest label, so a token of one label and few others gives few pairs. A pair is of a shorter text, or one as long, and a longer one; a longer one's
+    row is repeated for every step of sizes that the shorter may have, given how many tokens are before the shared one.
+    """
+    main = _largest(shared)
+    part, slack, width = similarity / (1 + similarity), 1e-6, math.log(min(similarity, 0.999)) / -STEPS
+
+    def step(size):
+        return F.floor(F.log(size) / width)
+
+    left = F.col("size") - F.col("at")  # the most that can be shared
+    least = F.greatest(F.lit(1 - slack), similarity * F.col("size") - slack)
+    steps = F.when(F.col("long"), F.sequence(step(least), step(F.least(F.col("size"), left / part - F.col("size")) + slack))).otherwise(F.array(step(F.col("size"))))
+    able = shared.where(left >= similarity * F.col("size") - slack).join(main, "token")
+    able = able.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("long")).where(F.col("long") | (left >= 2 * part * F.col("size") - slack))
+    placed = materialize(able.select("*", F.explode(steps).alias("step")))
+    few = placed.where("label <> main").select("token", "step", "long", F.col("fp").alias("x"), F.col("size").alias("sx"), F.col("at").alias("ax"), F.col("label").alias("src"))
+    many = placed.select("token", "step", (~F.col("long")).alias("long"), "main", F.col("fp").alias("y"), F.col("size").alias("sy"), F.col("at").alias("ay"), F.col("label").alias("dst"))
+    met = few.join(many, ["token", "step", "long"])
+    met = met.where("src <> dst and (dst = main or not long)").where("if(long, (sy, y) < (sx, x), (sx, x) < (sy, y))")
+    pairs = materialize(met.where(_may(similarity)).select("x", "y", "src", "dst").distinct())
+    discard(placed)
     return pairs
 
 
@@ -319,13 +372,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # what the fingerprints left out
     counts = spark.sparkContext.broadcast(_counted(marked))
     first = texts.join(labels, texts["id"] == labels["fp"]).select("fp", "label", "text")
-    tokens = first.mapInArrow(freeing(_prefixes(shingle, similarity, counts)), "token long, fp long, size int, label long")
+    tokens = first.mapInArrow(freeing(_prefixes(shingle, similarity, counts)), "token long, fp long, size int, label long, at int")
     release(spark)
-    across = _across(tokens, similarity)
+    shared = _shared(tokens)
     release(spark)
-    links = _verified(across, texts, shingle, similarity)
-    discard(across)
-    parts = labels.join(connected_components(links).withColumnRenamed("node", "label"), "label", "left").select("fp", F.coalesce("component", "label").alias("component_id"))
+    joined = []
+    for meet in (_to_centres, _across):
+        met = meet(shared, similarity)
+        release(spark)
+        links = _verified(met, texts, shingle, similarity)
+        joined.append(materialize(connected_components(links).withColumnsRenamed({"node": "label", "component": "after"})))
+        discard(met, links)
+        if meet is _to_centres:
+            left = _shared(_renamed(shared, joined[0]))
+            discard(shared)
+            shared = left
+    parts = _renamed(_renamed(labels, joined[0]), joined[1]).select("fp", F.col("label").alias("component_id"))
     classes = materialize(distinct.select("key", "fp").join(parts, "fp").select("key", "component_id"), n)
     return rows.join(classes, "key").select(F.col("id").alias("doc_id"), "component_id")
 
