@@ -542,3 +542,39 @@ def test_many_values_are_dealt_to_tasks(spark, monkeypatch):
     got = centrality.closeness(g)
     assert got.rdd.getNumPartitions() == 3
     assert [(r.id, r.val) for r in got.orderBy("id").collect()] == [(i, 7 / sum(abs(i - j) for j in range(8))) for i in range(8)]
+
+
+def test_private_colours_are_searched_once(spark, monkeypatch):
+    """The query's rewiring and its checks take one search, whose colours are dealt to tasks where they are many."""
+    from veilgraph.plans import queries
+
+    search, calls = optimisers.optimal_line, []
+    monkeypatch.setattr(optimisers, "optimal_line", lambda *a: calls.append(a) or search(*a))
+    monkeypatch.setattr(centrality, "ROWS", 100)
+    assert tuple(queries.private_color_changes(spark, "/root/testdata/sf0.001").first())[2:4] == (True, 0)
+    assert len(calls) == 1
+
+
+def test_line_search_takes_the_best_of_all_it_looks_at():
+    rng = np.random.default_rng(10)
+    ends = np.array(sorted({(int(min(p)), int(max(p))) for p in rng.integers(0, 150, (300, 2)) if p[0] != p[1]}))
+    g = centrality.Arrays(np.arange(150), ends[:, 0], ends[:, 1])
+    x = optimisers.katz_array(g, 0.05)
+    for w in (0.0001, 0.01, 1.0):
+        best, best_k, most = (np.inf, None), 0, 2
+        for k, color in clustering.line_clusters(x, 150):
+            if k > most:
+                if best_k < 0.75 * most:
+                    break
+                most = int(most / 0.75) + 1
+            loss = optimisers.katz_utility(x, color) + w * optimisers.privacy(g, color)
+            if loss < best[0]:
+                best, best_k = (loss, color), k
+        assert np.array_equal(optimisers.optimal_line(g, w, True, 0.05), best[1])
+
+
+def test_differing_rows_count_repeats(spark):
+    a = spark.createDataFrame([(1, 1), (1, 1), (2, None), (3, 3)], "id long, color long")
+    b = spark.createDataFrame([(1, 1), (2, None), (3, 4)], "id long, color long")
+    assert sorted(map(tuple, structure.differing(a, b).collect())) == [(1, 1), (3, 3), (3, 4)]
+    assert not wl.equal_labellings(a, b) and wl.equal_labellings(b, b)

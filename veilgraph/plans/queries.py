@@ -559,7 +559,8 @@ def variant_nest_changes(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def private_color_changes(spark: SparkSession, folder: str) -> DataFrame:
     g, method = _c(spark, folder), anonymize.PrivateColorAnonymizer(0.001, alpha=0.03)
-    return _changes(g, method.anonymize(g, 1), materialize(method.colours(g)))
+    colors = materialize(method.colours(g))  # one search serves the rewiring and what is checked of it
+    return _changes(g, method.anonymize(g, 1, colors), colors)
 
 
 @query
