@@ -623,3 +623,40 @@ def test_evaluator_runs_metrics_together(spark):
     assert found == {name: {"G": 5, "Ga": 5} for name in "ab"} and list(found) == ["a", "b"] and len(made) == 2
     with pytest.raises(ZeroDivisionError):
         metrics.Evaluator({"bad": type("Bad", (Waiting,), {"evaluate": lambda self, g, h: 1 / 0})(), "n": metrics.NumberOfNodesMetric()}).evaluate(g, g)
+
+
+def test_report_of_small_graphs_is_made_of_arrays(spark, monkeypatch):
+    sc = spark.sparkContext
+    g = graph(spark, random_edges(150, 0.06, 1), 160)
+    h = Graph(spark.range(20, 170), graph(spark, [(a + 20, b + 20) for a, b in random_edges(140, 0.07, 2)] + random_edges(150, 0.06, 1)[::3], 1).edges.where("src >= 20").distinct())
+    chosen = {
+        "components": metrics.ConnectedComponentsMetric(),
+        "max": metrics.MaxDegreeMetric(),
+        "median": metrics.MedianDegreeMetric(),
+        "mean": metrics.MeanDegreeMetric(),
+        "triangles": metrics.NumberOfTrianglesMetric(),
+        "clustering": metrics.AverageClusteringCoefficientMetric(),
+        "transitivity": metrics.TransitivityMetric(),
+        "degree": metrics.DegreeCentralityMetric(),
+        "local": metrics.LocalClusteringCoefficientMetric(),
+        "eigenvector": metrics.EigenvectorMetric(),
+        "katz": metrics.KatzCentralityMetric(),
+        "pagerank": metrics.PageRankMetric(),
+        "closeness": metrics.ClosenessCentralityMetric(),
+        "wl": metrics.WLColorMetric(2),
+        "jaccard": metrics.EdgeJaccardMetric(),
+        "k_degree": metrics.PercentageKDegreeAnonMetric(9),
+    }
+    monkeypatch.setattr(structure, "CLOSED", 50)  # wedges are closed in several rounds
+    sc.setJobGroup("report", "")
+    try:
+        found = metrics.Evaluator(chosen).evaluate(g, h)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("report"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 45  # several times as many when each metric counts and joins the tables again
+    monkeypatch.setattr("veilgraph.functions.distances.at_hand", lambda df, column: None)
+    for name, metric in chosen.items():
+        assert found[name] == pytest.approx(metric.evaluate(g, h)), name  # of graphs that aren't written: by joins
+    monkeypatch.setattr(structure, "WEDGES", 0)
+    assert structure.corners(centrality.small(g)) is None

@@ -619,6 +619,7 @@ def closeness_color_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def evaluator_report(spark: SparkSession, folder: str) -> DataFrame:
+    g = part_graph(spark, folder).written()
     found = metrics.Evaluator(
         {
             "nodes": metrics.NumberOfNodesMetric(),
@@ -640,7 +641,7 @@ def evaluator_report(spark: SparkSession, folder: str) -> DataFrame:
             "jaccard": metrics.EdgeJaccardMetric(),
             "k_degree_20": metrics.PercentageKDegreeAnonMetric(20),
         }
-    ).table(*_both(spark, folder))
+    ).table(g, thinned(g))
     return _rounded(found, "g", "ga", "dist")
 
 
